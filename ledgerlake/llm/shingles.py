@@ -56,13 +56,13 @@ def shingle_sets(texts: list[str | None], hashes: WordHashes, width: int = 5) ->
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Runs of rows with about so many characters of text, and their texts."""
+def slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 21, rows: int = 1 << 14) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Runs of rows with about so many characters of text, or so many rows, and their texts."""
     for b in batches:
         texts = b.column("text").to_pylist()
         start = size = 0
         for i, t in enumerate(texts):
             size += len(t or "")
-            if size >= chars or i == len(texts) - 1:
+            if size >= chars or i + 1 - start == rows or i == len(texts) - 1:
                 yield b.slice(start, i + 1 - start), texts[start : i + 1]
                 start, size = i + 1, 0
