@@ -15,6 +15,8 @@ from __future__ import annotations
 import itertools
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,8 +29,10 @@ from .common import new_folder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Words whose ids a task keeps; when there are as many, it starts again.
+#: Words whose ids a process keeps.
 CACHED_WORDS = 1 << 20
+#: A character that the tokenizer makes one id of; texts that have it are encoded as they are.
+MARK = "\x01"
 
 INDEX = "shard int, file string, seq long, doc_id long, offset long, length long, n_tokens long"
 RECORDS = "shard int, seq long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -45,7 +49,7 @@ def frame(payload: bytes) -> bytes:
 
 
 def payload_of(doc_id: int | None, ids: np.ndarray) -> bytes:
-    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+    wide = ids.dtype.itemsize == 4
     return struct.pack("<Bq", (doc_id is not None) | wide << 1, doc_id or 0) + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
@@ -85,7 +89,7 @@ class Encoder:
     """Token ids of whole texts.
 
     The tokenizer ends a token at white space, lower-cases and drops the white space, so the ids of a text are those of
-    its words; each distinct word (ASCII lower case) is encoded once while it is in the cache. Texts with
+    its words; each distinct word (ASCII lower case) is encoded once while it is remembered. Texts with
     a special token's spelling are encoded as they are.
     """
 
@@ -95,24 +99,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[bytes, list[int]] = {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # words met lately, and those met before them: ids of each as bytes
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of_process(cls, path: str) -> Encoder:
+        """This process's encoder for a file: workers outlive tasks, and the words they know are worth keeping.
+
+        Functions arrive anew with each task, so it hangs on a module of the process.
+        """
+        home = sys.modules.setdefault("_ledgerlake_of_process", types.ModuleType("_ledgerlake_of_process"))
+        known = home.__dict__.setdefault("encoders", {})
+        return known.get(path) or known.setdefault(path, cls(path))
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. Many words are encoded as one text, kept apart by a mark that is one id and in no word."""
+        if self.mark is None:
+            return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
+        out: list[bytes] = []
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(w.decode() for w in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.type)
+            at = np.flatnonzero(ids == self.mark)
+            data, size = ids.tobytes(), self.type.itemsize
+            starts, ends = np.concatenate([[0], at + 1]) * size, np.concatenate([at, [len(ids)]]) * size
+            out += [data[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+            if len(at) != len(g) - 1:
+                raise ValueError("a mark between words was lost")
+        return out
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.ids))
-        if len(self.ids) + len(new) > CACHED_WORDS:
-            self.ids.clear()
-            new = list(words)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.ids.update((w, e.ids) for w, e in zip(new, encoded, strict=True))
+        if len(self.young) + len(words) > CACHED_WORDS // 2:
+            self.young, self.old = {}, self.young
+        for w in words.intersection(self.old).difference(self.young):
+            self.young[w] = self.old[w]
+        new = sorted(words.difference(self.young))
+        self.young.update(zip(new, self._encode(new), strict=True))
 
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         lowered = [(t or "").encode().lower() for t in texts]
-        plain = [not any(s in t for s in self.special) for t in lowered]
-        words = [t.split() if p else [] for t, p in zip(lowered, plain, strict=True)]
-        self.learn(set(itertools.chain.from_iterable(words)))
-        for text, own, p in zip(texts, words, plain, strict=True):
-            ids = itertools.chain.from_iterable(map(self.ids.__getitem__, own)) if p else self.tokenizer.encode(text, add_special_tokens=False).ids
-            yield np.fromiter(ids, dtype=np.uint32)
+        own = [t.split() if self._plain(t) else None for t in lowered]
+        self.learn(set(itertools.chain.from_iterable(filter(None, own))))
+        for text, w in zip(texts, own, strict=True):
+            if w is None:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type)
+            else:
+                yield np.frombuffer(b"".join(map(self.young.__getitem__, w)), dtype=self.type)
+
+    def _plain(self, text: bytes) -> bool:
+        return MARK.encode() not in text and not any(s in text for s in self.special)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 21) -> Iterator[tuple[list, list]]:
@@ -142,7 +181,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        shard, encoder = first.column("shard")[0].as_py(), Encoder(tokenizer)
+        shard, encoder = first.column("shard")[0].as_py(), Encoder.of_process(tokenizer)
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.rec"
         fs, at = _filesystem(name)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
@@ -151,7 +190,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
         with fs.open_output_stream(at) as out:
             for doc_ids, texts in _slices(itertools.chain([first], batches)):
                 for doc_id, ids in zip(doc_ids, encoder.batch(texts), strict=True):
-                    data = frame(payload_of(doc_id, np.append(ids, np.uint32(end_id))))
+                    data = frame(payload_of(doc_id, np.append(ids, ids.dtype.type(end_id))))
                     out.write(data)
                     rows.append((shard, name, seq, doc_id, offset, len(data), len(ids) + 1))
                     seq, offset = seq + 1, offset + len(data)
@@ -190,7 +229,8 @@ def read_records(index: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
 
-    return files.repartition("shard").mapInArrow(read, RECORDS)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # names are small, files are not
+    return files.repartition(tasks, "shard").mapInArrow(read, RECORDS)
 
 
 def digest(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
