@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, mixing, near_dedup, records, secret_scan, sharding, toxicity
+from . import decontamination, langid, line_dedup, mixing, near_dedup, records, secret_scan, sharding, topk, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -44,13 +48,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_near_dedup, op4_toxicity, op6_language_id, op7_decontamination, op8_mixing, op10_records)}
+    return {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_near_dedup, op4_toxicity, op5_topk, op6_language_id, op7_decontamination, op8_mixing, op9_line_dedup, op10_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan.ORACLE, "op7_decontamination": decontamination.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op2_secret_scan": secret_scan.ORACLE, "op5_topk": topk.ORACLE, "op7_decontamination": decontamination.ORACLE, "op8_mixing": mixing.ORACLE}
