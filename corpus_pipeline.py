@@ -1,12 +1,58 @@
-"""A pipeline over documents made of the training-data operators."""
+"""A training corpus from documents: language, near duplicates, benchmark leaks, mixture, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with all their columns; the last
+one returns a row for each record that it has written and read back. Stages learn and count on what their predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ledgerlake.llm import decontamination, langid, mixing, near_dedup, records
+from ledgerlake.llm.common import table, written
+from ledgerlake.llm.queries import tokenizer_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those far from every centroid, go (operator 6)."""
+    return langid.known_languages(docs, langid.learn(docs))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (operator 3)."""
+    return near_dedup.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go (operator 7)."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them (operator 8)."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in record files, read back (operator 10)."""
+    return records.digest(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language id", language),
+    ("near duplicates", deduplicated),
+    ("benchmark decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token ids", encoded),
+]
+
+#: SQL has neither the sketches of stage 2 nor the tokenizer of stage 5; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage over all documents; between stages the documents are written and read again."""
+    out = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = written(stage(spark, out, sf_dir), name.replace(" ", "-"))
+    return out

@@ -143,6 +143,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def known_languages(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text isn't rejected, with the columns of docs whatever their names."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return identify(packed, model, ["row"]).filter("not rejected").select("row.*")
+
+
 def held_out(doc_id: Column) -> Column:
     return ~learnable(doc_id)
 

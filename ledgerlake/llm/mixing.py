@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import number_rows, word_count
+from .common import number_rows, word_count, written
 
 MAX_REPEATS = 3
 
@@ -72,12 +72,16 @@ def digest(docs: DataFrame, seed: int = 0) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs.
 
-    Copies are joined back by doc_id, a hash of the row and a number among equal rows, so that repeated rows and
-    null ids keep their own counts.
+    Copies are joined back by doc_id and a hash of the row. Only where whole rows repeat do they get a number among their
+    equals first, so that each keeps its own count.
     """
-    full = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_hash", F.xxhash64(*docs.columns))
-    full = full.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_hash").orderBy("_size")))
-    thin = full.select("doc_id", "source", F.col("_size").alias("size"), "_hash", "_nth")
+    full = docs.withColumn("_hash", F.xxhash64(*docs.columns))
+    thin = written(full.select("doc_id", "source", word_count(F.col("text")).alias("size"), "_hash"), "sizes")
+    if not thin.groupBy("doc_id", "_hash").count().filter("count > 1").isEmpty():
+        alike = W.partitionBy("doc_id", "_hash").orderBy("_hash")
+        full, thin = (x.withColumn("_nth", F.row_number().over(alike)) for x in (full, thin))
+    else:
+        full, thin = (x.withColumn("_nth", F.lit(1)) for x in (full, thin))
     taken = copies_per_document(thin, seed).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.col("_nth").alias("_n"), "copies")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n"))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))

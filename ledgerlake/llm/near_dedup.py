@@ -199,3 +199,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0) | F.col("component").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the document with the smallest id stays.
+
+    Rows without an id, and without a word, stay. Rows that repeat an id and a text leave one.
+    """
+    found = written(near_duplicates(docs, percent), "duplicates")
+    left = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti")
+    twice = written(found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(twice, "doc_id", "left_anti").unionByName(again)
+    return left.select(*docs.columns)
