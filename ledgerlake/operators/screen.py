@@ -82,6 +82,21 @@ def sort_key(order: str = "score-desc") -> list[Column]:
     return [~has_financials(), F.when(has_financials(), F.col("s_overall")).desc_nulls_last(), F.col("seq")]
 
 
+def ranked(view: DataFrame, orders: tuple[str, ...] = ("score-desc", "code-asc", *SORTS), top: int = 100) -> DataFrame:
+    """W5 for several orders in one pass: the first companies of each, column sort and rank (from 1).
+
+    Each row is dealt once for each order, and tasks keep only their own first rows before the shuffle by order.
+    """
+    none = F.lit(None).cast("double")
+    keys = {n: (F.col(c).isNull(), F.col(c) if up else -F.col(c), F.lit("")) for n, (c, up) in SORTS.items()}
+    keys["code-asc"] = (F.lit(False), F.regexp_extract("code", r"^\d+", 0).cast("double"), F.regexp_replace("code", r"^\d+", ""))
+    keys["score-desc"] = (~has_financials(), F.when(has_financials(), -F.col("s_overall")).otherwise(none), F.lit(""))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("sort"), *(k.alias(x) for k, x in zip(keys[n], ("_last", "_key", "_text"), strict=True))) for n in orders)))
+    dealt = view.select("*", each.alias("_k")).select(*view.columns, "_k.*")
+    place = F.row_number().over(W.partitionBy("sort").orderBy("_last", F.asc_nulls_last("_key"), "_text", "seq"))
+    return dealt.withColumn("rank", place).filter(F.col("rank") <= top).drop("_last", "_key", "_text")
+
+
 def page(view: DataFrame, number: int, order: str = "score-desc", size: int = rules.PAGE_SIZE) -> DataFrame:
     """A page (from 1) of the sorted companies; Spark keeps only number * size rows of each task."""
     return view.orderBy(*sort_key(order)).offset((number - 1) * size).limit(size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import kpi, rules, scalar
 from ..operators import facts, filings, screen, universe
@@ -274,14 +274,9 @@ _ORDERS = {
 
 @query(" union all ".join(f"select '{n}' as sort, code, rank from (select code, row_number() over (order by {k}) as rank from view) where rank <= 100" for n, k in _ORDERS.items()), o.VIEW)
 def screen_sorted(spark, sf):
-    """The first 100 of each order, as the screener would show them."""
-    view = views.company_view(spark, sf)
-    out = None
-    for n in _ORDERS:
-        top = view.orderBy(*screen.sort_key(n)).limit(100)
-        ranked = top.select(F.lit(n).alias("sort"), "code", F.row_number().over(W.orderBy(*screen.sort_key(n))).cast("long").alias("rank"))
-        out = ranked if out is None else out.union(ranked)
-    return out
+    """The first 100 of each order."""
+    view = views.company_view(spark, sf).select("code", "seq", "data_source", "s_overall", *(c for c, _ in screen.SORTS.values()))
+    return screen.ranked(view).select("sort", "code", F.col("rank").cast("long"))
 
 
 @query(f"select code, s_overall from (select *, row_number() over (order by {_ORDERS['score-desc']}) as rn from view) where rn between 31 and 60", o.VIEW)
