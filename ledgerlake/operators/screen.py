@@ -106,14 +106,22 @@ def page_count(view: DataFrame, size: int = rules.PAGE_SIZE) -> DataFrame:
     return view.agg(F.count("*").alias("companies"), F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("pages"))
 
 
-def dashboard(view: DataFrame) -> DataFrame:
-    """One row: companies with data, with warnings, mean overall score (0 if none), coverage in percent."""
+def dashboard(view: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """One row: companies with data, with warnings, mean overall score (0 if none), coverage in percent.
+
+    A status row (any of target_companies, companies, coverage_ratio; null for unknown) comes before what is counted here.
+    """
     ok = has_financials()
-    return view.agg(
+    counted = view.agg(
         F.count("*").alias("target_companies"), F.count_if(ok).alias("companies"), F.count_if(ok & F.col("has_warning")).alias("warning_companies"),
         F.coalesce(F.avg(F.when(ok, F.col("s_overall"))), F.lit(0.0)).alias("mean_overall"),
         F.coalesce(F.count_if(ok) / F.nullif(F.count("*"), F.lit(0)) * 100, F.lit(0.0)).alias("coverage_ratio"),
     )
+    if status is None:
+        return counted
+    given = [c for c in ("target_companies", "companies", "coverage_ratio") if c in status.columns]
+    both = counted.crossJoin(status.select(*(F.col(c).alias(f"_{c}") for c in given)))  # one row each
+    return both.select(*(F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in counted.columns))
 
 
 def industry_counts(view: DataFrame, top: int = 12) -> DataFrame:

@@ -25,6 +25,7 @@ def test_context_bucket(spark):
 
 def test_rounding_and_ratios(spark):
     assert values(spark, [(1.005,), (-2.5,), (2.675,)], "x double", scalar.round2(F.col("x"))) == [1.0, -2.5, 2.68]
+    assert values(spark, [(2.675,), (1.005,), (0.125,), (None,)], "x double", scalar.exact_round2(F.col("x"))) == [2.67, 1.0, 0.12, None]
     assert values(spark, [(-0.25,), (0.25,)], "x double", scalar.round1(F.col("x"))) == [-0.2, 0.3]
     rows = [(1.0, 3.0), (1.0, 0.0), (None, 2.0), (1.0, None)]
     assert values(spark, rows, "n double, d double", scalar.pct(F.col("n"), F.col("d"))) == [33.33, None, None, None]
@@ -120,3 +121,13 @@ def test_display(spark):
     assert values(spark, [(5.0, 4.0), (5.0, None)], "x double, p double", scalar.delta_text(F.col("x"), F.col("p"), "%")) == ["+1pt", "前年差なし"]
     assert values(spark, [(2e8,), (15000.0,), (999.0,), (None,)], "x double", scalar.volume_text(F.col("x"))) == ["2億株", "1.5万株", "999株", "出来高なし"]
     assert values(spark, [(99.5,), (1234.4,)], "x double", scalar.yen_text(F.col("x"))) == ["￥99.5", "￥1,234"]
+
+
+def test_dashboard_prefers_the_status_row(spark):
+    from ledgerlake.operators import screen
+
+    view = spark.createDataFrame([("EDINET", True, 60.0), ("EDINET", False, 40.0), ("unavailable", False, 0.0)], "data_source string, has_warning boolean, s_overall double")
+    assert tuple(screen.dashboard(view).first()) == (3, 2, 1, 50.0, 2 / 3 * 100)
+    status = spark.sql("select 3919L as target_companies, cast(null as long) as companies, 93.82D as coverage_ratio")
+    assert tuple(screen.dashboard(view, status).first()) == (3919, 2, 1, 50.0, 93.82)
+    assert tuple(screen.dashboard(view.limit(0)).first()) == (0, 0, 0, 0.0, 0.0)
