@@ -53,3 +53,12 @@ def test_index_and_damage(spark, sf, tmp_path):
     path.write_bytes(data)
     with path.open("rb") as f, pytest.raises(ValueError):
         list(records.read_frames(f))
+
+
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr(records, "CACHED_WORDS", 8)
+    t, e = Tokenizer.from_file(queries.tokenizer_path()), records.Encoder(queries.tokenizer_path())
+    for text in ("a b c d", "c d e f", "g h", "a b c d e f g h i j", "a z"):
+        ids = next(e.batch([text]))
+        assert list(ids) == t.encode(text, add_special_tokens=False).ids
+        assert len(e.young) + len(e.old) <= 20
