@@ -1,15 +1,15 @@
 """Operator 3: near-duplicate documents with HyperMinHash.
 
-Sketch: a document's shingles are dealt to K buckets; a bucket keeps its smallest hash as a register of 16 bits, the
-count of leading zeros and ten bits of mantissa (Yu and Weber, 2017). Buckets that stay empty are filled by further
+Sketch: a document's shingles are dealt to K buckets; a bucket keeps its smallest hash as a register of one byte, three
+bits of its leading-zero count and five of mantissa (Yu and Weber, 2017). Buckets that stay empty are filled by further
 rounds of dealing, and at last by a hash of their own, so that a register of two documents agrees with a probability
 of their Jaccard similarity for small sets too. Bands of registers give candidates; the register agreement, corrected
 for registers that agree by chance, drops those far below the threshold; the rest are confirmed on full shingle sets.
 
-Documents with the same set are one class. A band's bucket is never expanded into all pairs: its members are compared
-with a few leaders, components are formed, and only members of different components meet again, with ever more
-leaders, until every bucket lies within one component or all its members have led. So no candidate is lost, and
-a group of copies costs about its size.
+Documents with the same set are one class. A band's bucket is never expanded into rows of pairs: its members meet the
+smallest and the largest of them, the links form components, and then the other members meet those of
+different components in blocks, inside tasks, which give back only pairs whose registers agree well enough. So no
+candidate is lost, and a group of copies costs about its size.
 """
 
 from __future__ import annotations
@@ -26,27 +26,33 @@ from .common import components, written
 from .shingles import WordHashes, mix, shingle_sets, slices
 
 SHINGLE_WORDS = 5
-BANDS, ROWS = 32, 4
+#: Eight rows a band keep documents that share a passage and little else apart; a hundred bands miss a pair right at
+#: 75 % once in 37,000 times, one at 80 % practically never.
+BANDS, ROWS = 100, 8
 K = BANDS * ROWS
-MANTISSA_BITS = 10
-#: Links have 100 * intersection >= PERCENT * union; bands miss a pair right at 75 % once in 190,000 times.
+LZ_BITS, MANTISSA_BITS = 3, 5
+#: Bits of a hash that order it within its bucket; the others choose the bucket.
+VALUE_BITS = 40
+#: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Standard deviations below the threshold at which an estimate still gets a pair confirmed.
 SLACK = 5
 #: Rounds of dealing before registers that are still empty get a hash of their own.
 DEALS = 8
-#: Growth of the number of leaders from pass to pass.
-MORE_LEADERS = 16
+#: Sets that a task remembers, so as not to send the bands of copies again.
+REMEMBERED = 1 << 20
+#: Members of a bucket that are compared with each other in one task at a time.
+BLOCK = 512
 
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, registers binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, registers binary"
 
 
 def _register(value: np.ndarray, deal: int) -> np.ndarray:
-    """Leading zeros (5 bits) and mantissa of 57-bit values; later deals are marked by the top bit and mixed."""
+    """Low bits of the leading-zero count and mantissa of 40-bit values; each deal shifts them by a number of its own."""
     bits = np.frexp(value.astype(np.float64))[1]
     mantissa = (value >> np.maximum(bits - 1 - MANTISSA_BITS, 0).astype(np.uint64)) & np.uint64((1 << MANTISSA_BITS) - 1)
-    out = (np.minimum(57 - bits, 31).astype(np.uint64) << np.uint64(MANTISSA_BITS)) | mantissa
-    return (out if deal == 0 else 0x8000 | ((out ^ np.uint64(deal * 0x1E35)) & np.uint64(0x7FFF))).astype(np.uint16)
+    zeros = (VALUE_BITS - bits).astype(np.uint64) & np.uint64((1 << LZ_BITS) - 1)
+    return ((((zeros << np.uint64(MANTISSA_BITS)) | mantissa) + np.uint64(deal * 37)) & np.uint64(0xFF)).astype(np.uint8)
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -54,7 +60,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     none = np.uint64(1 << 63)
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
-    out, empty = np.zeros((len(sets), K), dtype=np.uint16), np.ones((len(sets), K), dtype=bool)
+    out, empty = np.zeros((len(sets), K), dtype=np.uint8), np.ones((len(sets), K), dtype=bool)
     for deal in range(DEALS):
         rows = np.flatnonzero(empty.any(axis=1))
         if not len(rows):
@@ -63,7 +69,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         own = np.repeat(np.arange(len(rows)), sizes[rows])
         h = mix(flat[use] + np.uint64(deal + 1) * np.uint64(0x9E3779B97F4A7C15))
         best = np.full(len(rows) * K, none, dtype=np.uint64)
-        np.minimum.at(best, own * K + (h >> np.uint64(57)).astype(np.int64), h & np.uint64((1 << 57) - 1))
+        np.minimum.at(best, own * K + (((h >> np.uint64(VALUE_BITS)) * np.uint64(K)) >> np.uint64(64 - VALUE_BITS)).astype(np.int64), h & np.uint64((1 << VALUE_BITS) - 1))
         best = best.reshape(len(rows), K)
         fill = empty[rows] & (best != none)
         r, c = np.nonzero(fill)
@@ -73,56 +79,131 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     starts = np.cumsum(sizes) - sizes
     for row in np.flatnonzero(empty.any(axis=1)):  # sets of at most a few hundred shingles
         at = np.flatnonzero(empty[row])
-        h = mix(flat[starts[row] : starts[row] + sizes[row], None] ^ keys[at]) >> np.uint64(7)
+        h = mix(flat[starts[row] : starts[row] + sizes[row], None] ^ keys[at]) >> np.uint64(64 - VALUE_BITS)
         out[row, at] = _register(h.min(axis=0), DEALS)
     return out
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of registers."""
-    parts = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    packed = parts[:, :, 0]
-    for k in range(1, ROWS):
-        packed = mix(packed) ^ parts[:, :, k]
-    return mix(packed + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+    """A 64-bit key for each band: its eight registers and its number, mixed by a one-to-one function."""
+    bands = np.ascontiguousarray(regs).view(np.uint64)
+    return mix(bands ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """A row for each document: size and 128-bit key of its shingle set, registers and band keys (null if empty)."""
+    """A row for each document: size and 128-bit key of its shingle set, and registers (null if the set is empty, or its
+    task has met it before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        met: set[bytes] = set()
         with np.errstate(over="ignore"):
-            for b, texts in slices(batches):
+            for b, texts in slices(batches, rows=2048):
                 sets = shingle_sets(texts, hashes, SHINGLE_WORDS)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                regs = registers([sets[i] for i in full]) if full else np.zeros((0, K), np.uint16)
-                keys = band_keys(regs)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                full = [i for i in full if digests[i] not in met and not met.add(digests[i])]
+                if len(met) >= REMEMBERED:
+                    met.clear()
+                regs = registers([sets[i] for i in full]) if full else np.zeros((0, K), np.uint8)
                 reg: list = [None] * len(sets)
-                band: list = [None] * len(sets)
                 for j, i in enumerate(full):
-                    reg[i], band[i] = regs[j].tobytes(), keys[j]
-                id128 = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64).reshape(-1, 2)
+                    reg[i] = regs[j].tobytes()
+                id128 = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(id128[:, 0]), pa.array(id128[:, 1]), pa.array(reg, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "k1", "k2", "registers", "bands"],
+                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(id128[:, 0]), pa.array(id128[:, 1]), pa.array(reg, pa.binary())],
+                    names=["doc_id", "n_shingles", "k1", "k2", "registers"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
 
+def _matrix(registers: pa.Array | pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(registers if isinstance(registers, pd.Series) else registers.to_pylist()), dtype=np.uint8).reshape(-1, K)
+
+
+def _banded(sk: DataFrame) -> DataFrame:
+    """(key, k1) for each band of each sketch with registers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                keys = band_keys(_matrix(b.column("registers")))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("k1").to_numpy(), BANDS))], names=["key", "k1"])
+
+    return sk.filter("registers is not null").select("k1", "registers").mapInArrow(run, "key long, k1 long")
+
+
+def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How likely registers of different minima agree: that of Yu and Weber, about 0.17 in 2^mantissa bits for sets of like
+    size (fixed value), and of a leading-zero count that differs by a multiple of eight, which is negligible."""
+    ratio = n / m
+    return 0.169919487159739093975315012348 / (1 << MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
+
+
+def least_estimate(percent: int) -> float:
+    j = percent / 100
+    return j - SLACK * (j * (1 - j) / K) ** 0.5
+
+
 @F.pandas_udf(T.DoubleType())
 def estimate(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """Jaccard similarity from the share of equal registers, corrected for those that agree by chance.
-
-    The chance is that of Yu and Weber for registers of ten bits: about 0.17 in 2^10 for sets of like size (fixed value).
-    """
+    """Jaccard similarity from the share of equal registers, corrected for those that agree by chance."""
     if not len(a):
         return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(-1, K) for s in (a, b))
-    ratio = (n / m).to_numpy()
-    chance = 0.169919487159739093975315012348 / (1 << MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
-    return pd.Series(((x == y).mean(axis=1) - chance) / (1 - chance))
+    c = chance(n.to_numpy(), m.to_numpy())
+    return pd.Series(((_matrix(a) == _matrix(b)).mean(axis=1) - c) / (1 - c))
+
+
+def _met_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a bucket in different components, both of whose registers agree well enough.
+
+    rows: key, cid, component, n, registers. A bucket is cut into blocks of BLOCK members; a pair of blocks is one piece
+    of work, so a task holds two blocks at a time. A pair that shares several buckets is given by its first band alone.
+    """
+    least = least_estimate(percent)
+    rank = F.row_number().over(W.partitionBy("key").orderBy("cid"))
+    ranked = rows.withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
+    blocks = ranked.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = ranked.join(blocks, "key").withColumn("other", other).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+    dealt = dealt.select("key", "p", "q", "block", "cid", "component", "n", "registers")
+
+    def compare(bucket: list[tuple]) -> tuple[list[int], list[int]]:
+        key = bucket[0][0]
+        first = [r for r in bucket if r[3] == r[1]]
+        second = first if bucket[0][1] == bucket[0][2] else [r for r in bucket if r[3] == r[2]]
+        x, y = (np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint8).reshape(-1, K) for rows in (first, second))
+        (cx, cy), (kx, ky), (nx, ny) = ([np.array([r[i] for r in rows]) for rows in (first, second)] for i in (4, 5, 6))
+        band = int(np.flatnonzero(band_keys(x[:1])[0] == key)[0])
+        left, right = [], []
+        for i in range(len(first)):
+            at = np.flatnonzero((ky != kx[i]) & (100 * np.minimum(ny, nx[i]) >= percent * np.maximum(ny, nx[i])) & ((cy > cx[i]) if second is first else (cy != cx[i])))
+            if len(at):
+                same = y[at] == x[i]
+                c = chance(ny[at], np.full(len(at), nx[i]))
+                ok = (same.mean(axis=1) - c) / (1 - c) >= least
+                ok &= ~same[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
+                left += [min(cx[i], z) for z in cy[at[ok]]]
+                right += [max(cx[i], z) for z in cy[at[ok]]]
+        return left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        give = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], names=["a", "b"])
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if held and row[:3] != held[0][:3]:
+                        yield give(compare(held))
+                        held = []
+                    held.append(row)
+            if held:
+                yield give(compare(held))
+
+    pieces = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return pieces.mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -141,9 +222,12 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     side = lambda x: reps.select(F.col("cid").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    j = percent / 100
-    least = j - SLACK * (j * (1 - j) / K) ** 0.5
-    likely = written(both.filter(estimate("ra", "rb", "na", "nb") >= least).select("a", "b"), "likely")
+    likely = written(both.filter(estimate("ra", "rb", "na", "nb") >= least_estimate(percent)).select("a", "b"), "likely")
+    return _on_full_sets(likely, sets, percent)
+
+
+def _on_full_sets(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) that are linked."""
     sets = sets.select(F.col("id"), F.col("shingles"))
     full = likely.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -161,11 +245,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sk = written(sketches(docs), "sketches")
     filled = sk.filter("n_shingles > 0 and doc_id is not null")
     classes = written(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid")), "classes")
-    reps = filled.join(classes, ["k1", "k2"]).filter("doc_id = cid").dropDuplicates(["cid", "k1"])
-    reps = written(reps.select("cid", F.col("n_shingles").alias("n"), "registers", "bands"), "reps")
-    banded = reps.select("cid", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi")
-    members = written(banded.join(shared, "key"), "members")
+    banded = _banded(sk).repartition("key")
+    shared = banded.groupBy("key").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x < y").select("key")
+    met = written(banded.join(shared, "key", "left_semi").distinct(), "met")
+    named = met.join(classes.select("k1", "cid"), "k1").select("key", "cid")
+    ends = named.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    members = written(named.join(ends, "key").filter("lo < hi"), "members")
+    sketched = sk.filter("registers is not null").join(met.select("k1").distinct(), "k1", "left_semi")
+    reps = sketched.join(classes, ["k1", "k2"]).select("cid", F.col("n_shingles").alias("n"), "registers").distinct()
+    reps = written(reps, "reps")
 
     wanted = members.select(F.col("cid").alias("doc_id")).distinct()
     sets = written(_sets(docs.join(wanted, "doc_id", "left_semi")), "sets").dropDuplicates(["id", "shingles"])
@@ -173,26 +261,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = members.filter("cid > lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).union(members.filter("cid < hi and cid > lo").select(F.col("cid").alias("a"), F.col("hi").alias("b"))).distinct()
     links = written(_confirmed(first, reps, sets, percent), "links")
     found = written(components(links), "components")
-    # members that haven't led, by an order of their own in each bucket
-    rest = members.filter("cid > lo and cid < hi").select("key", "cid")
-    leaders = 1
-    while True:
-        placed = rest.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        rest = written(placed.join(split, "key"), "rest")
-        if rest.isEmpty():
-            break
-        leaders *= MORE_LEADERS
-        order = W.partitionBy("key").orderBy(F.xxhash64("cid"), "cid")
-        ranked = written(rest.withColumn("rank", F.row_number().over(order)), "ranked")
-        lead = ranked.filter(F.col("rank") <= leaders).select("key", F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        met = lead.join(ranked, "key").filter("ca <> component and ra < rank")
-        pairs = met.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
-        more = written(_confirmed(pairs, reps, sets, percent), "links")
-        rest = ranked.filter(F.col("rank") > leaders).select("key", "cid")
-        if not more.isEmpty():
-            links = links.union(more)
-            found = written(components(links), "components")
+    # the others of a bucket, where they are of several components
+    placed = members.filter("cid > lo and cid < hi").select("key", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    rest = written(placed.join(split, "key", "left_semi"), "rest")
+    if not rest.isEmpty():
+        likely = written(_met_in_blocks(rest.join(reps, "cid"), percent), "likely")
+        found = written(components(links.union(_on_full_sets(likely, sets, percent))), "components")
 
     by_class = classes.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("k1", "k2", F.coalesce("component", "cid").alias("component"))
     out = sk.select("doc_id", "n_shingles", "k1", "k2").join(by_class, ["k1", "k2"], "left")
