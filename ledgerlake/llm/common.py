@@ -52,19 +52,20 @@ def word_count(text: Column) -> Column:
 
 
 def learnable(doc_id: Column, modulus: int = 3, held_out: int = 1) -> Column:
-    """False for rows that only serve to measure: crc32 of the id as text, modulo 3, is 1. A null id may be learnt from."""
+    """False for rows that only serve to measure: crc32 of the id as text, modulo 3, is 1. True for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus != held_out, F.lit(True))
 
 
 def learning_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """At most so many rows of each label, those whose ids hash lowest; rows: doc_id, the label and what is learnt from.
+    """At most so many rows of each label, those whose ids hash lowest; rows: doc_id and the label, without texts.
 
-    Labels are counted first and thinned by the hash, so that only about twice the wanted rows of a label meet in a task.
+    Labels are counted first (one row a label, which is broadcast) and thinned by the hash, so that only about twice the
+    wanted rows of a label meet in a task.
     """
     counts = rows.groupBy(label).agg(F.count("*").alias("_count"))
     place = F.xxhash64(F.lit("sample"), "doc_id")
     share = (place.cast("double") / float(1 << 63) + 1) / 2
-    thinned = rows.join(counts, label).filter(share <= 2.0 * most / F.col("_count") + 1e-9)
+    thinned = rows.join(F.broadcast(counts), label).filter(share <= 2.0 * most / F.col("_count") + 1e-9)
     nth = F.row_number().over(W.partitionBy(label).orderBy(place, "doc_id"))
     return thinned.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_nth", "_count")
 

@@ -90,9 +90,13 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def learn(docs: DataFrame, per_language: int = LEARN_PER_LANGUAGE, k: int = CENTROIDS) -> Model:
-    """Fits the centroids. Sparse counts of at most per_language documents of each language come to the driver."""
+    """Fits the centroids. Sparse counts of at most per_language documents of each language come to the driver.
+
+    Rows are chosen by id and language alone; texts are met where they lie, and not shuffled. Rows without an id aren't chosen.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id")))
-    sample = learning_sample(known.select("doc_id", "lang", "text"), "lang", per_language)
+    sample = learning_sample(known.select("doc_id", "lang"), "lang", per_language).distinct()
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])  # per_language ids a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in slices(batches, rows=512):
