@@ -47,14 +47,8 @@ def _seed_rows(df: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) ->
     return rows.select(*keep, "seed", at.alias("at"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched, aligned and doc_start for each document and item that it leaks; clean documents have no row.
-
-    Of several alignments of an item the one with the most agreeing words counts, then the earliest. aligned is
-    the number of words that lie beside each other and doc_start the document's first of them. Null or empty texts leak
-    nothing; documents with a null id are reported with it; repeated rows give one row; items that are null, or have fewer
-    than LEAST_WORDS words, never match. Other columns are ignored.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, row hash h, item_id, matched, aligned and doc_start for each alignment that leaks an item."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("w")).filter(F.size("w") >= LEAST_WORDS).distinct()
     items = written(items, "items")
     short = [r[0] for r in items.filter(F.size("w") < SPAN).select(F.size("w")).distinct().sort(F.size("w")).collect()]  # below SPAN
@@ -80,15 +74,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     least = F.ceil(F.col("window") * SHARE)
     pairs = pairs.withColumn("best", F.expr("if(aligned >= window, array_max(transform(sequence(0, aligned - window), i -> sums[i + window] - sums[i])), 0)"))
     matched = F.element_at("sums", -1)
-    kept = pairs.filter(F.col("best") >= least).select("doc_id", "item_id", matched.alias("matched"), "aligned", (F.col("first") + F.col("shift")).alias("doc_start"))
-    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("doc_start")).alias("n"), "aligned")).alias("b"))
+    return pairs.filter(F.col("best") >= least).select("doc_id", "h", "item_id", matched.alias("matched"), "aligned", (F.col("first") + F.col("shift")).alias("doc_start"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, matched, aligned and doc_start for each document and item that it leaks; clean documents have no row.
+
+    Of several alignments of an item the one with the most agreeing words counts, then the earliest. aligned is
+    the number of words that lie beside each other and doc_start the document's first of them. Null or empty texts leak
+    nothing; documents with a null id are reported with it; repeated rows give one row; items that are null, or have fewer
+    than LEAST_WORDS words, never match. Other columns are ignored.
+    """
+    best = _found(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("doc_start")).alias("n"), "aligned")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("b.aligned").cast("long").alias("aligned"), (-F.col("b.n")).cast("long").alias("doc_start"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose id leaks no item. Rows without an id go if any of them leaks."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs whose text leaks no item; rows that share their id, or have none, are told apart by a hash of their text."""
+    bad = _found(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("h").alias("_h")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("doc_id", "text") == F.col("_h")), "left_anti")
 
 
 def _oracle() -> str:

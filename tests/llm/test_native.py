@@ -55,3 +55,12 @@ def test_leaks(spark):
     assert got == {(1, 10): (30, 30, 2), (2, 10): (25, 30, 1), (4, 11): (5, 5, 0), (None, 10): (30, 30, 0), (8, 10): (30, 30, 30000)}
     assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [3, 5, 6, 7]
     assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_clean_rows_beside_leaking_ones(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, passage), (None, "clean without an id"), (None, None), (1, passage), (1, "clean with the same id"), (2, passage + " end"), (2, passage + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, passage)], "item_id long, text string")
+    kept = decontamination.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[2], rows[4]], key=repr)
