@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .common import components, written
 from .shingles import WordHashes, mix, shingle_sets, slices
@@ -44,7 +44,7 @@ REMEMBERED = 1 << 20
 #: Members of a bucket that are compared with each other in one task at a time.
 BLOCK = 512
 
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, registers binary"
+SKETCH = "doc_id long, h long, n_shingles long, k1 long, k2 long, registers binary"
 
 
 def _register(value: np.ndarray, deal: int) -> np.ndarray:
@@ -90,8 +90,12 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix(bands ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """A row for each document: size and 128-bit key of its shingle set, and registers (null if the set is empty, or its
+    """A row for each document: row hash, size and 128-bit key of its shingle set, and registers (null if the set is empty, or its
     task has met it before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +105,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for b, texts in slices(batches, rows=2048):
                 sets = shingle_sets(texts, hashes, SHINGLE_WORDS)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                digests = [_digest(s) for s in sets]
                 full = [i for i in full if digests[i] not in met and not met.add(digests[i])]
                 if len(met) >= REMEMBERED:
                     met.clear()
@@ -111,11 +115,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     reg[i] = regs[j].tobytes()
                 id128 = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(id128[:, 0]), pa.array(id128[:, 1]), pa.array(reg, pa.binary())],
-                    names=["doc_id", "n_shingles", "k1", "k2", "registers"],
+                    [b.column("doc_id"), b.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(id128[:, 0]), pa.array(id128[:, 1]), pa.array(reg, pa.binary())],
+                    names=["doc_id", "h", "n_shingles", "k1", "k2", "registers"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "h", "text").mapInArrow(run, SKETCH)
 
 
 def _matrix(registers: pa.Array | pd.Series) -> np.ndarray:
@@ -207,14 +211,17 @@ def _met_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """Key and shingles of each document's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         with np.errstate(over="ignore"):
             for b, texts in slices(batches):
                 sets = shingle_sets(texts, hashes, SHINGLE_WORDS)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
+                id128 = np.frombuffer(b"".join(map(_digest, sets)), dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(id128[:, 0]), pa.array(id128[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k1", "k2", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "k1 long, k2 long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,17 +241,21 @@ def _on_full_sets(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return full.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text).
+def _row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
-    component_id is the smallest doc_id that links lead to; kept says that a row is that document. Rows with an empty
-    set, and rows without an id, are linked with nothing and kept. Where rows share an id but not a text, each gets the
-    component of its own text. Other columns are ignored.
+
+def _placed(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, row hash h, n_shingles, node, component_id and kept for each row of docs.
+
+    Equal sets are one class, numbered by cid, as rows with different sets may share a doc_id. node is the smallest cid that
+    links lead to, so it is one for each group, and null for rows that are linked with nothing by contract.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_hash().alias("h"))
     sk = written(sketches(docs), "sketches")
     filled = sk.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid")), "classes")
+    classes = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min("h").alias("h"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     banded = _banded(sk).repartition("key")
     shared = banded.groupBy("key").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x < y").select("key")
     met = written(banded.join(shared, "key", "left_semi").distinct(), "met")
@@ -255,8 +266,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = sketched.join(classes, ["k1", "k2"]).select("cid", F.col("n_shingles").alias("n"), "registers").distinct()
     reps = written(reps, "reps")
 
-    wanted = members.select(F.col("cid").alias("doc_id")).distinct()
-    sets = written(_sets(docs.join(wanted, "doc_id", "left_semi")), "sets").dropDuplicates(["id", "shingles"])
+    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
+    sets = _sets(docs.join(wanted.select("h"), "h", "left_semi")).join(wanted.select("k1", "k2", F.col("cid").alias("id")), ["k1", "k2"])
+    sets = written(sets.select("id", "shingles"), "sets").dropDuplicates(["id"])
 
     first = members.filter("cid > lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).union(members.filter("cid < hi and cid > lo").select(F.col("cid").alias("a"), F.col("hi").alias("b"))).distinct()
     links = written(_confirmed(first, reps, sets, percent), "links")
@@ -269,22 +281,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         likely = written(_met_in_blocks(rest.join(reps, "cid"), percent), "likely")
         found = written(components(links.union(_on_full_sets(likely, sets, percent))), "components")
 
-    by_class = classes.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("k1", "k2", F.coalesce("component", "cid").alias("component"))
-    out = sk.select("doc_id", "n_shingles", "k1", "k2").join(by_class, ["k1", "k2"], "left")
+    linked = classes.select("cid", "least").join(found.withColumnRenamed("id", "cid"), "cid")
+    linked = linked.join(linked.groupBy("component").agg(F.min("least").alias("name")), "component").select("cid", "component", "name")
+    by_class = classes.join(linked, "cid", "left").select("k1", "k2", F.coalesce("component", "cid").alias("node"), F.coalesce("name", "least").alias("component"))
+    out = sk.select("doc_id", "h", "n_shingles", "k1", "k2").join(by_class, ["k1", "k2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0) | F.col("component").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component, node = F.when(alone, F.col("doc_id")).otherwise(F.col("component")), F.when(~alone, F.col("node"))
+    return out.select("doc_id", "h", "n_shingles", node.alias("node"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text).
+
+    component_id is the smallest doc_id that links lead to; kept says that a row is that document. Rows with an empty
+    set, and rows without an id, are linked with nothing and kept. Where rows share an id but not a text, each gets the
+    component of its own text. Other columns are ignored.
+    """
+    return _placed(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the document with the smallest id stays.
+    """The rows of docs without near duplicates: of each component one row with the smallest id stays.
 
-    Rows without an id, and without a word, stay. Rows that repeat an id and a text leave one.
+    Rows without an id, and without a word, stay.
     """
-    found = written(near_duplicates(docs, percent), "duplicates")
-    left = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti")
-    twice = written(found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if not twice.isEmpty():
-        again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(twice, "doc_id", "left_anti").unionByName(again)
+    found = written(_placed(docs, percent), "duplicates")
+    named = found.filter("kept and node is not null")
+    several = written(named.groupBy("node").agg(F.min("h").alias("stays"), F.count("*").alias("n")).filter("n > 1"), "several")
+    spare = named.join(several, "node").filter("h <> stays")
+    gone = found.filter("not kept").select("doc_id", "h").union(spare.select("doc_id", "h"))
+    matches = lambda rows: (F.col("doc_id") == rows["_id"]) & (_row_hash() == rows["_h"])
+    named_apart = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    gone = named_apart(gone)
+    left = docs.join(gone, matches(gone), "left_anti")
+    if not several.isEmpty():
+        twice = named_apart(named.join(several, "node").filter("h = stays"))
+        again = left.join(twice, matches(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(twice, matches(twice), "left_anti").unionByName(again)
     return left.select(*docs.columns)

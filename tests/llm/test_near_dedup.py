@@ -80,3 +80,18 @@ def test_estimate_follows_jaccard():
                 r = near_dedup.registers([a, b])
                 errors.append((r[0] == r[1]).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.03
+
+
+def test_ids_that_texts_share(spark):
+    rnd = random.Random(8)
+    a, b, c = ([f"{x}{rnd.randrange(10**6)}" for _ in range(80)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, a2, b, b2, c, c2 = " ".join(a), near(a), " ".join(b), near(b), " ".join(c), near(c)
+    rows = [(1, a), (2, a2), (2, b), (3, b2), (4, c), (4, c2), (4, c), (5, c.upper()), (None, a), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in near_dedup.near_duplicates(docs).select("doc_id", "component_id", "kept").collect()), key=repr)
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), *[(4, 4, True)] * 3, (5, 4, False), (None, None, True), (6, 6, True)], key=repr)
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    left = sorted((tuple(r) for r in kept.collect()), key=repr)
+    assert left in [sorted([(1, a), (2, b), (4, x), (None, a), (6, "")], key=repr) for x in (c, c2)]
