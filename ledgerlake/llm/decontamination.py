@@ -1,13 +1,20 @@
 """Operator 7: benchmark decontamination with spaced seeds, in DataFrame functions alone.
 
-Texts are words in lower case (letters and digits). Fixed masks pick some of the words of each window and ignore the
+Texts are words in lower case (letters and digits); of scripts without spaces each letter is a word. Fixed masks pick some of the words of each window and ignore the
 others, so a substituted word spoils only the windows in which the mask looks at it. Hashes of the picked words are
 joined between benchmark and documents; a hit fixes an alignment, and the words of both are compared along it. A
-document leaks an item if some WINDOW aligned words (all of a shorter item) agree in SHARE of their places.
+document leaks an item if some WINDOW aligned words (all of a shorter item) agree in SHARE of their places; places beyond
+the document's ends count as places that differ.
+
+Items of up to SHORT words have masks of their own length, which leave out every set of places that SHARE lets differ, so
+none of their leaks is missed. Items of LEAST_WORDS words must be whole: four words alone identify too little.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
@@ -19,25 +26,44 @@ WINDOW = 16
 SHARE = 0.8
 #: Items with fewer words identify nothing and never match.
 LEAST_WORDS = 5
+#: Words up to which items have masks of their own length.
+SHORT = 14
+#: Letters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
 #: Seeds of the benchmark up to which they are broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_SEEDS = 500_000
 
 
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of the words of a text, in order; empty for null."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    low = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(w: str, number: int, offsets: tuple[int, ...]) -> str:
+def masks_of(length: int) -> list[tuple[int, ...]]:
+    """Masks for items of so many words: whatever places differ, as far as SHARE allows, some mask looks at none of them."""
+    differ = 0 if length == LEAST_WORDS else length - math.ceil(length * SHARE)
+    step = length // (differ + 2)
+    groups = [range(i, min(i + step, length)) for i in range(0, length, step)]
+    masks = set()
+    for out in combinations(groups, differ):
+        offsets = [i for i in range(length) if not any(i in g for g in out)]
+        masks.add(tuple(i - offsets[0] for i in offsets))
+    return sorted(masks)
+
+
+def _seeds(w: str, number: int, offsets: tuple[int, ...], length: int | None) -> str:
     span = offsets[-1] + 1
     picked = ", ".join(f"{w}[i + {o}]" for o in offsets)
-    return f"if(size({w}) >= {span}, transform(sequence(0, size({w}) - {span}), i -> xxhash64({number}, {picked})), array())"
+    fits = f"size({w}) >= {span}" + (f" and size({w}) = {length}" if length else "")
+    return f"if({fits}, transform(sequence(0, size({w}) - {span}), i -> xxhash64({number}, {picked})), array())"
 
 
-def _seed_rows(df: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
-    """keep, seed and position for every window of column w and every mask."""
-    arrays = df.select(*keep, *(F.expr(_seeds("w", k, m)).alias(f"s{k}") for k, m in enumerate(masks)))
+def _seed_rows(df: DataFrame, keep: list[str], masks: list[tuple[tuple[int, ...], int | None]], items: bool = False) -> DataFrame:
+    """keep, seed and position for every window of column w and every mask; of items, a mask for a length takes those of that length."""
+    arrays = df.select(*keep, *(F.expr(_seeds("w", k, m, n if items else None)).alias(f"s{k}") for k, (m, n) in enumerate(masks)))
     each = F.posexplode(F.concat(*(f"s{k}" for k in range(len(masks)))))
     rows = arrays.select(*keep, *(F.size(f"s{k}").alias(f"n{k}") for k in range(len(masks))), each.alias("p", "seed"))
     before, at = F.lit(0), F.col("p")  # each mask's positions begin at 0
@@ -51,9 +77,9 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row hash h, item_id, matched, aligned and doc_start for each alignment that leaks an item."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("w")).filter(F.size("w") >= LEAST_WORDS).distinct()
     items = written(items, "items")
-    short = [r[0] for r in items.filter(F.size("w") < SPAN).select(F.size("w")).distinct().sort(F.size("w")).collect()]  # below SPAN
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    seeds = _seed_rows(items, ["item_id"], masks).withColumnRenamed("at", "item_at")
+    short = [r[0] for r in items.filter(F.size("w") <= SHORT).select(F.size("w")).distinct().sort(F.size("w")).collect()]  # ten lengths at most
+    masks = [*((m, None) for m in MASKS), *((m, n) for n in short for m in masks_of(n))]
+    seeds = _seed_rows(items, ["item_id"], masks, items=True).withColumnRenamed("at", "item_at")
     small = seeds.count() <= BROADCAST_SEEDS
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
@@ -72,8 +98,9 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sums = F.expr("aggregate(same, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))")
     pairs = pairs.withColumn("sums", sums)
     least = F.ceil(F.col("window") * SHARE)
-    pairs = pairs.withColumn("best", F.expr("if(aligned >= window, array_max(transform(sequence(0, aligned - window), i -> sums[i + window] - sums[i])), 0)"))
     matched = F.element_at("sums", -1)
+    inside = F.expr("array_max(transform(sequence(0, aligned - window), i -> sums[i + window] - sums[i]))")
+    pairs = pairs.withColumn("best", F.when(F.col("aligned") >= F.col("window"), inside).otherwise(matched))
     return pairs.filter(F.col("best") >= least).select("doc_id", "h", "item_id", matched.alias("matched"), "aligned", (F.col("first") + F.col("shift")).alias("doc_start"))
 
 

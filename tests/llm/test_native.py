@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from itertools import combinations
 
 from ledgerlake.llm import decontamination, secret_scan
 from ledgerlake.llm.common import table
@@ -64,3 +65,32 @@ def test_clean_rows_beside_leaking_ones(spark):
     bench = spark.createDataFrame([(10, passage)], "item_id long, text string")
     kept = decontamination.clean(docs, bench)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[2], rows[4]], key=repr)
+
+
+def test_short_and_cut_passages(spark):
+    def changed(words, places):
+        return " ".join(f"z{i}" if i in places else w for i, w in enumerate(words))
+
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (6, 7, 8, 9, 10, 14, 30)}
+    rows, want = [], set()
+
+    def add(text, item):
+        if item:
+            want.add((len(rows), item))
+        rows.append((len(rows), text))
+
+    for n, differ in ((6, 1), (7, 1), (8, 1), (9, 1), (10, 2), (14, 2)):
+        for places in combinations(range(n), differ):
+            add("before " + changed(items[n], places) + " after", n)
+        add("before " + changed(items[n], range(differ + 1)) + " after", None)
+    long = items[30]
+    add(" ".join(long[-13:]) + " and more words", 30)
+    add("some words " + " ".join(long[:13]), 30)
+    add(" ".join(long[-12:]) + " and more words", None)
+    add("some words " + " ".join(long[:12]), None)
+    han = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往"
+    add("前言" + han[:5] + "某" + han[6:] + "后记", 99)
+    add("前言" + han[:10] + "某某某某某某某某某某", None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*((n, " ".join(w)) for n, w in items.items()), (99, han)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want
