@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, and_, or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -61,18 +61,31 @@ def usable_previous(close: Column, previous: Column) -> Column:
 
 
 def with_valuation(df: DataFrame) -> DataFrame:
-    """Per and pbr, and their previous values, from close, previous_close, and forecast_eps, eps and bps of f_ (the fundamentals
-    row, used as a whole where has_fundamentals) or of the record."""
-    chosen = lambda c, own: F.when(C("has_fundamentals"), C(f"f_{c}")).otherwise(C(own) if own else F.lit(None).cast("double"))
-    forecast, eps, bps = chosen("forecast_eps", None), chosen("eps", "eps"), chosen("bps", "bps")
+    """Per and pbr with previous value, trend and label from close, previous_close, and forecast_eps, eps and bps of f_ (the fundamentals
+    row, used as a whole where has_fundamentals) or of the record. Where they can't be had, the record's own stay."""
+    chosen = lambda c: F.when(C("has_fundamentals"), C(f"f_{c}")).otherwise(C(c))
+    forecast, eps, bps = chosen("forecast_eps"), chosen("eps"), chosen("bps")
     eps = F.when(forecast > 0, forecast).otherwise(eps)
     ok = usable_previous(C("close"), C("previous_close"))
     for k, d in (("per", eps), ("pbr", bps)):
-        d = F.when(d > 0, d)
-        df = df.withColumn(f"v_{k}", C("close") / d).withColumn(f"p_{k}", F.when(ok, C("previous_close") / d))
+        now, before = C("close") / F.when(d > 0, d), C("previous_close") / F.when(d > 0, d)
+        fresh = {"v": now, "p": F.when(ok, before), "t": F.when(ok, F.array(before, now)), "l": F.lit(rules.DAY_LABEL)}
+        df = df.withColumns({f"{x}_{k}": F.when(now.isNotNull(), c).otherwise(C(f"{x}_{k}")) for x, c in fresh.items()})
     return df
 
 
+#: What a record may hold besides KPI values and previous values, null where it doesn't.
+OPTIONAL = (
+    {f"{x}_{k}": "double" for k in rules.KPIS for x in "vp"} | {f"t_{k}": "array<double>" for k in rules.KPIS} | {f"l_{k}": "string" for k in rules.KPIS}
+    | {"eps": "double", "bps": "double", "forecast_eps": "double", "history": "array<double>", "source": "string", "filed_at": "string", "period_end": "string", "source_url": "string"}
+)
+
+
+def with_optional(records: DataFrame) -> DataFrame:
+    """Records with a column for everything that a record may hold."""
+    return records.withColumns({n: F.lit(None).cast(t) for n, t in OPTIONAL.items() if n not in records.columns})
+
+
 def valid(kpi: str, x: Column) -> Column:
     """the value, or null where it can't be right."""
     x = finite(x)
@@ -97,19 +110,22 @@ def status(kpi: str) -> Column:
 
 
 def cell(kpi: str) -> Column:
-    """P10: the KPI as a struct, rounded for display; trend has the previous and the present value where both are known."""
+    """P10: the KPI as a struct, rounded for display, from v_, p_, t_ and l_ columns. A given trend of two values and more is shown, else the
+    previous and the present value where both are known."""
     texts = dict(zip(("good", "normal", "warning"), rules.COMMENTS[kpi], strict=True)) | {"unknown": rules.NO_DATA_COMMENT}
     s = status(kpi)
-    label = rules.DAY_LABEL if kpi in ("per", "pbr") else rules.YEAR_LABEL
     before = F.when(v(kpi).isNotNull(), round1(finite(p(kpi))))
+    given, none = C(f"t_{kpi}"), F.array().cast("array<double>")
+    pair = F.when(before.isNotNull(), F.array(before, round1(v(kpi)))).otherwise(none)
+    trend = F.when(v(kpi).isNull(), none).when(F.size(given) >= 2, F.transform(given, round1)).otherwise(pair)
     return F.struct(
         F.coalesce(round1(v(kpi)), F.lit(0.0)).alias("value"),
         before.alias("previousValue"),
-        F.when(v(kpi).isNotNull(), label).alias("comparisonLabel"),
+        F.when(v(kpi).isNotNull(), F.coalesce(C(f"l_{kpi}"), F.lit(rules.YEAR_LABEL))).alias("comparisonLabel"),
         F.lit(rules.KPIS[kpi][0]).alias("unit"),
         s.alias("status"),
         first_match([(s == n, t) for n, t in texts.items()]).alias("comment"),
-        F.when(before.isNotNull(), F.array(before, round1(v(kpi)))).otherwise(F.array().cast("array<double>")).alias("trend"),
+        trend.alias("trend"),
         v(kpi).isNotNull().alias("available"),
     )
 
@@ -191,7 +207,3 @@ def analysed(df: DataFrame) -> DataFrame:
     """Scores, warnings, strengths and comment of rows with validated KPIs and a history (array of margins)."""
     df = with_scores(df.withColumn("live_kpis", live_count()).withColumn("prev_margin", previous_margin()))
     return df.withColumn("warnings", warnings()).withColumn("strengths", strengths()).withColumn("analysis_comment", analysis_comment()).withColumn("has_warning", F.size("warnings") > 0)
-
-
-def all_of(*columns: Column) -> Column:
-    return reduce(and_, columns)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import kpi, rules
+from ..functions.scalar import round1
 from .universe import themed
 
 SORTS = {"per-asc": ("v_per", True), "pbr-asc": ("v_pbr", True), "roe-desc": ("v_roe", False), "operatingMargin-desc": ("v_operatingMargin", False)}
@@ -17,24 +18,24 @@ SORTS = {"per-asc": ("v_per", True), "pbr-asc": ("v_pbr", True), "roe-desc": ("v
 def company_view(companies: DataFrame, records: DataFrame, quotes: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """Companies with KPIs, scores, warnings; a company without a record keeps its quote and is unavailable.
 
-    records: code, v_ and p_ KPIs, eps, bps, history. Three left joins on code; all that follows is narrow.
+    companies: with row_index. records: code, and any of the columns of kpi.OPTIONAL. Three left joins on code; all that follows is narrow.
     """
-    named = [f"{x}_{k}" for k in kpi.RECORD_KPIS for x in "vp"]
-    rec = records.select("code", *named, "eps", "bps", "history", F.lit(True).alias("has_record"))
+    rec = kpi.with_optional(records).select("code", *kpi.OPTIONAL, F.lit(True).alias("has_record"))
     fun = fundamentals.select("code", *(F.col(c).alias(f"f_{c}") for c in ("eps", "bps", "forecast_eps")), F.lit(True).alias("has_fundamentals"))
-    quo = quotes.select("code", "close", "previous_close", "change_percent", F.lit(True).alias("has_quote"))
+    quo = quotes.select("code", "close", "previous_close", "change_percent", "volume", F.lit(True).alias("has_quote"))
     df = themed(companies).join(rec, "code", "left").join(quo, "code", "left").join(fun, "code", "left")
     df = df.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_record", "has_fundamentals", "has_quote")})
     df = kpi.validated(kpi.with_valuation(df))
     # an unavailable company has no KPI, whatever its quote says
-    df = df.withColumns({f"{x}_{k}": F.when(F.col("has_record"), F.col(f"{x}_{k}")) for k in rules.KPIS for x in "vp"})
+    df = df.withColumns({f"{x}_{k}": F.when(F.col("has_record"), F.col(f"{x}_{k}")) for k in rules.KPIS for x in "vptl"})
     df = kpi.analysed(df.withColumn("history", F.coalesce("history", F.array().cast("array<double>"))))
     known = F.col("has_record")
     empty = F.array().cast("array<string>")
     df = df.withColumns({f"s_{n}": F.when(known, F.col(f"s_{n}")).otherwise(0.0) for n in rules.COMPARED_SCORES})
     df = df.withColumn("strengths", F.when(known, F.col("strengths")).otherwise(empty)).withColumn("warnings", F.when(known, F.col("warnings")).otherwise(empty))
     df = df.withColumn("analysis_comment", F.when(known, F.col("analysis_comment")).otherwise(rules.UNAVAILABLE_COMMENT))
-    return df.withColumn("has_warning", F.size("warnings") > 0).withColumn("data_source", F.when(known, "EDINET").otherwise("unavailable"))
+    source = F.when(~known, "unavailable").when(F.col("source") == "TDnet", "TDnet").otherwise("EDINET")
+    return df.withColumn("has_warning", F.size("warnings") > 0).withColumn("data_source", source)
 
 
 def has_financials() -> Column:
@@ -52,19 +53,21 @@ def fold_needle(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).lower().split())
 
 
-def matches(query: str, text: str = "name", folded_text: str = "name_fold") -> Column:
+def matches(query: str, text: Column | str = "name", folded_text: Column | str = "name_fold") -> Column:
     """Contained as it is, or folded; a needle that folds to nothing matches."""
     needle = fold_needle(query)
-    return F.col(text).contains(query) | F.col(folded_text).contains(needle) if needle else F.lit(True)
+    text, folded_text = (F.col(c) if isinstance(c, str) else c for c in (text, folded_text))
+    return text.contains(query) | folded_text.contains(needle) if needle else F.lit(True)
 
 
 def screened(view: DataFrame, query: str = "", market: str = "all", industry: str = "all", theme: str = "all", warnings_only: bool = False) -> DataFrame:
-    """F8."""
+    """F8. Name, code and market match as they are or folded; name_fold, code_fold and market_fold are used where the view has them."""
+    fold = lambda c: F.col(f"{c}_fold") if f"{c}_fold" in view.columns else folded(c)
     q = query.strip().lower()
     if q:
-        view = view.filter(F.lower("name").contains(q) | F.col("code").contains(q))
+        view = view.filter(matches(q, F.lower("name"), fold("name")) | matches(q, F.col("code"), fold("code")))
     if market != "all":
-        view = view.filter(F.col("market").contains(market))
+        view = view.filter(matches(market, F.col("market"), fold("market")))
     if industry != "all":
         view = view.filter(F.col("industry") == industry)
     if theme != "all":
@@ -73,12 +76,12 @@ def screened(view: DataFrame, query: str = "", market: str = "all", industry: st
 
 
 def sort_key(order: str = "score-desc") -> list[Column]:
-    """Companies without the value come last; ties by seq."""
+    """Companies without the value come last; KPIs count as they are shown, to one place; ties by seq."""
     if order == "code-asc":
         return [F.regexp_extract("code", r"^\d+", 0).cast("long"), F.regexp_replace("code", r"^\d+", ""), F.col("seq")]
     if order in SORTS:
         name, up = SORTS[order]
-        return [F.col(name).isNull(), F.col(name).asc() if up else F.col(name).desc(), F.col("seq")]
+        return [F.col(name).isNull(), round1(F.col(name)).asc() if up else round1(F.col(name)).desc(), F.col("seq")]
     return [~has_financials(), F.when(has_financials(), F.col("s_overall")).desc_nulls_last(), F.col("seq")]
 
 
@@ -88,7 +91,7 @@ def ranked(view: DataFrame, orders: tuple[str, ...] = ("score-desc", "code-asc",
     Each row is dealt once for each order, and tasks keep only their own first rows before the shuffle by order.
     """
     none = F.lit(None).cast("double")
-    keys = {n: (F.col(c).isNull(), F.col(c) if up else -F.col(c), F.lit("")) for n, (c, up) in SORTS.items()}
+    keys = {n: (F.col(c).isNull(), round1(F.col(c)) if up else -round1(F.col(c)), F.lit("")) for n, (c, up) in SORTS.items()}
     keys["code-asc"] = (F.lit(False), F.regexp_extract("code", r"^\d+", 0).cast("double"), F.regexp_replace("code", r"^\d+", ""))
     keys["score-desc"] = (~has_financials(), F.when(has_financials(), -F.col("s_overall")).otherwise(none), F.lit(""))
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("sort"), *(k.alias(x) for k, x in zip(keys[n], ("_last", "_key", "_text"), strict=True))) for n in orders)))

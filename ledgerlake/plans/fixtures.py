@@ -6,8 +6,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: (element, period, factor) of the facts that a line item can stand for.
 ELEMENTS = (
@@ -35,15 +36,14 @@ from {customer} join {nation} on c_nationkey = n_nationkey""",
     "fx_filings": """
 select concat('S', lpad(cast(o_orderkey as varchar(20)),8,'0')) as doc_id, o_orderkey, c.seq as company_seq, c.code as company_code, concat(substr(c.code,1,4),'0') as sec_code,
  case when o_orderpriority in ('1-URGENT','2-HIGH','3-MEDIUM') then '120' else '140' end as doc_type_code,
- cast(o_orderdate as varchar(19)) as submit_ts, cast(null as varchar(19)) as submit_date,
+ cast(o_orderdate as varchar(19)) as submit_ts, cast(null as varchar(19)) as submit_date, cast(cast(o_orderdate as date) as varchar(10)) as period_end, cast(o_orderdate as date) as fetch_day,
  days(cast('2001-08-02' as date), cast(o_orderdate as date)) as day_offset,
  row_number() over (partition by cast(o_orderdate as date) order by o_orderkey) - 1 as day_seq
 from {orders} join fx_companies c on o_custkey = c.seq""",
     "fx_tags": _TAGS,
     "fx_facts": """
 select concat('S', lpad(cast(l_orderkey as varchar(20)),8,'0')) as doc_id, l_orderkey,
- row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity,
-   l_discount,l_tax,l_shipdate,l_returnflag,l_linestatus,k) as seq,
+ (cast(l_linenumber as bigint) * 4294967296 + cast(round(l_extendedprice * 100) as bigint)) * 32 + k as seq,
  tag, bucket, round(l_extendedprice * f) as value
 from {lineitem} cross join fx_tags
 where (l_linenumber * 7 + k * 3 + l_partkey) % 4 = 0""",
@@ -80,8 +80,27 @@ def sql(body: str, more: str = "") -> str:
     return re.sub(r"\{([a-z]+)\}", r"\1", text)
 
 
+def facts(spark: SparkSession, sf_dir: str, **more: Callable[[str], str]) -> DataFrame:
+    """fx_facts: six facts a line item, those of the 24 kinds k with k % 4 = (7 * l_linenumber + l_partkey) % 4; more gives further columns by
+    element. seq is the place in a document; facts of a kind that share it have the same value."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kinds = [(tag, f"{when}_{period}", f) for tag, period, f in ELEMENTS for when in ("current", "previous")]
+    step = F.explode(F.sequence(F.lit(0), F.lit(len(kinds) // 4 - 1))).alias("j")
+    rows = line.select("l_orderkey", "l_linenumber", "l_extendedprice", ((F.col("l_linenumber") * 7 + F.col("l_partkey")) % 4).alias("r"), step)
+    k = (F.col("j") * 4 + F.col("r")).cast("int")
+    of_kind = lambda values: F.get(F.array(*map(F.lit, values)), k)
+    tag, bucket, factor = zip(*kinds, strict=True)
+    place = (F.col("l_linenumber").cast("long") * (1 << 32) + F.round(F.col("l_extendedprice") * 100).cast("long")) * 32 + k
+    return rows.select(
+        F.concat(F.lit("S"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0")).alias("doc_id"), "l_orderkey", place.alias("seq"), of_kind(tag).alias("tag"), of_kind(bucket).alias("bucket"),
+        F.round(F.col("l_extendedprice") * of_kind(factor)).alias("value"), *(of_kind([f(t) for t in tag]).alias(n) for n, f in more.items()),
+    )
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of this module's tables as a DataFrame over the given ones."""
+    if name == "fx_facts":
+        return facts(spark, sf_dir)
     body = f"select * from {name}"
     parts = [f"{n} as ({TABLES[n]})" for n in _needed(body)]
     text = f"with {', '.join(parts)} {body}"

@@ -76,8 +76,8 @@ DOCS = WIDE + ", " + _records()
 
 _GROUP = case([(f"industry = '{k}'", f"'{g}'") for k, g in rules.GROUP_OF_INDUSTRY.items()] + [(f"regexp_matches(name, '{r}')", f"'{g}'") for g, r in rules.GROUP_OF_NAME.items()], "industry")
 _THEMES = case([(f"grp = '{g}'", "[" + ", ".join(map(text, t)) + "]") for g, t in rules.THEMES.items()], "[" + ", ".join(map(text, rules.OTHER_THEMES)) + "]")
-THEMED = f"""themed as (select *, list_extract(th, cast(seq % 3 as int) + 1) as theme1, list_extract(th, cast((seq + 1) % 3 as int) + 1) as theme2
-  from (select *, {_THEMES} as th from (select *, {_GROUP} as grp from fx_companies)))"""
+THEMED = f"""themed as (select *, list_extract(th, cast(row_index % 3 as int) + 1) as theme1, list_extract(th, cast((row_index + 1) % 3 as int) + 1) as theme2
+  from (select *, {_THEMES} as th from (select *, row_number() over (order by seq) - 1 as row_index, {_GROUP} as grp from fx_companies)))"""
 
 SECURITY = f"""(coalesce(length(code) > 4 and not regexp_matches(code, '^\\d{{3}}[A-Z]$'), false) or {tokens("market", rules.MARKET_TOKENS)}
   or industry in ({", ".join(map(text, rules.SEPARATE_INDUSTRIES))}) or {tokens("name", rules.SECURITY_NAME_TOKENS)})"""
@@ -106,16 +106,24 @@ def _score(name: str) -> str:
     return f"least(100.0::double, greatest(0.0::double, {' + '.join(parts)}))"
 
 
-def _view() -> str:
-    base = f"""base as (select c.*, {", ".join(f"r.{x}_{k}" for k in RECORD_KPIS for x in "vp")}, r.eps, r.bps, coalesce(h.history, []) as history,
-      r.doc_id is not null as has_record, q.close, q.previous_close, q.change_percent, q.code is not null as has_quote,
+#: Records as they are: some from the second source, some with ratios, a trend or a label of their own.
+HELD = """held as (select x.code as rcode, d.*, coalesce(h.history, []) as history, case when c.seq % 10 = 3 then 'TDnet' else 'EDINET' end as source, x.filed_at, substr(x.filed_at, 1, 10) as period_end,
+   'u:' || d.doc_id as source_url, case when c.seq % 7 = 1 then 10 + c.seq % 30 end::double as own_per, case when c.seq % 7 = 1 then 1 + c.seq % 3 end::double as own_pbr,
+   c.seq % 5 = 2 as own_trend, c.seq % 6 = 1 as own_label
+   from fx_records x join docs d on d.doc_id = x.document_id join fx_companies c on c.code = x.code left join past h on h.code = x.code)"""
+
+
+def _view(held: str) -> str:
+    base = f"""base as (select c.*, {", ".join(f"r.{x}_{k}" for k in RECORD_KPIS for x in "vp")}, r.eps, r.bps, coalesce(r.history, []) as history,
+      r.source, r.filed_at, r.period_end, r.source_url, r.own_per, r.own_pbr, coalesce(r.own_trend, false) as own_trend, coalesce(r.own_label, false) as own_label,
+      r.doc_id is not null as has_record, q.close, q.previous_close, q.change_percent, q.volume, q.code is not null as has_quote,
       case when f.code is not null then case when f.forecast_eps > 0 then f.forecast_eps else f.eps end else r.eps end as eps_used,
       case when f.code is not null then f.bps else r.bps end as bps_used,
       coalesce(q.close > 0 and q.previous_close > 0 and abs(q.close / nullif(q.previous_close, 0) - 1) <= 0.35::double, false) as prev_ok
-      from themed c left join (select x.code as rcode, d.* from fx_records x join docs d on d.doc_id = x.document_id) r on r.rcode = c.code
-      left join past h on h.code = c.code left join fx_quotes q on q.code = c.code left join fx_fundamentals f on f.code = c.code)"""
-    val = """val as (select *, case when eps_used > 0 then close / eps_used end as v_per, case when prev_ok and eps_used > 0 then previous_close / eps_used end as p_per,
-      case when bps_used > 0 then close / bps_used end as v_pbr, case when prev_ok and bps_used > 0 then previous_close / bps_used end as p_pbr from base)"""
+      from themed c left join held r on r.rcode = c.code left join fx_quotes q on q.code = c.code left join fx_fundamentals f on f.code = c.code)"""
+    val = """val as (select *, coalesce(case when eps_used > 0 then close / eps_used end, own_per) as v_per, case when prev_ok and eps_used > 0 then previous_close / eps_used end as p_per,
+      coalesce(case when bps_used > 0 then close / bps_used end, own_pbr) as v_pbr, case when prev_ok and bps_used > 0 then previous_close / bps_used end as p_pbr,
+      has_quote and eps_used > 0 as fresh_per, has_quote and bps_used > 0 as fresh_pbr from base)"""
     fixed = ", ".join(f"case when has_record then {_valid(k, f'v_{k}')} end as v_{k}, case when has_record then p_{k} end as p_{k}" for k in rules.KPIS)
     ok = f"ok as (select * replace ({fixed}, case when has_record then history else [] end as history) from val)"
     live = " + ".join(f"cast(v_{k} is not null as int)" for k in rules.KPIS)
@@ -140,24 +148,32 @@ def _view() -> str:
     view = f"""view as (select *, {scores}, case when has_record then warn_text else '' end as warnings,
       case when has_record then case when strong_text = '' then {text(rules.NO_STRENGTH)} else strong_text end else '' end as strengths,
       case when has_record then {comment} else {text(rules.UNAVAILABLE_COMMENT)} end as analysis_comment,
-      case when has_record then warn_text <> '' else false end as has_warning, case when has_record then 'EDINET' else 'unavailable' end as data_source from sc2)"""
-    return ", ".join([DOCS, THEMED, PAST, base, val, ok, sc1, sc2, view])
-
+      case when has_record then warn_text <> '' else false end as has_warning, case when not has_record then 'unavailable' when source = 'TDnet' then source else 'EDINET' end as data_source from sc2)"""
+    return ", ".join([THEMED, held, base, val, ok, sc1, sc2, view])
 
-VIEW = _view()
 
 ACCEPTED = DOCS + f""", annual as (select f.*, substr(sec_code, 1, 4) as code from fx_filings f where doc_type_code = '{rules.ANNUAL_REPORT}' and day_offset >= 0 and day_offset < {rules.LOOKBACK_DAYS}
    and substr(sec_code, 1, 4) in (select code from fx_companies where not {SECURITY})),
  target as (select code from fx_companies where code not in (select code from fx_records) and {CLASS} = '{rules.ORDINARY}'),
- cand as (select a.*, r.document_id, r.filed_at, a.code in (select code from target) as is_target, row_number() over (partition by a.code order by day_offset, day_seq) as rn,
-     max(submit_ts) over (partition by a.code order by day_offset, day_seq rows between unbounded preceding and 1 preceding) as before
-   from annual a left join fx_records r on r.code = a.code
-   where a.doc_id in (select doc_id from docs) and (r.document_id is null or a.doc_id <> r.document_id)),
- firsts as (select *, min(rn) filter (is_target or day_offset < {rules.REFRESH_DAYS}) over (partition by code) as first_rn from cand),
- accepted as (select code, doc_id, day_offset, day_seq, submit_ts, case when is_target and rn = 1 then '{rules.ADDED_POLICY}' else '{rules.REFRESHED_POLICY}' end as policy,
+ tried as (select a.*, r.filed_at, a.code in (select code from target) as is_target, o_orderkey % 17 = 0 as failed
+   from annual a left join fx_records r on r.code = a.code where (o_orderkey % 17 = 0 or a.doc_id in (select doc_id from docs)) and (r.code is null or a.doc_id <> r.document_id)),
+ cand as (select *, count(*) filter (not failed) over w as earlier, max(case when not failed then submit_ts end) over w as before from tried
+   window w as (partition by code order by day_offset, day_seq rows between unbounded preceding and 1 preceding)),
+ scanned as (select code, doc_id, day_offset, day_seq, submit_ts, period_end, case when failed then '{rules.FAILED}' when is_target and earlier = 0 then '{rules.ADDED_POLICY}' else '{rules.REFRESHED_POLICY}' end as policy,
      row_number() over (partition by code order by day_offset, day_seq) - 1 as nth
-   from firsts where (is_target and rn = 1) or (day_offset < {rules.REFRESH_DAYS} and
-     case when filed_at is null and not is_target then rn = first_rn or submit_ts > before else submit_ts > greatest(coalesce(before, ''), coalesce(filed_at, '')) end))"""
+   from cand where (is_target and earlier = 0) or (day_offset < {rules.REFRESH_DAYS} and
+     case when filed_at is null and not is_target then earlier = 0 or submit_ts > before else submit_ts > greatest(coalesce(before, ''), coalesce(filed_at, '')) end)),
+ accepted as (select * from scanned where policy <> '{rules.FAILED}')"""
+
+LAST = "last as (select code, arg_max(doc_id, nth) as document_id, arg_max(submit_ts, nth) as filed_at, arg_max(policy, nth) as policy from accepted group by code)"
+#: Records after a run, as the snapshot has them.
+_AFTER = ACCEPTED + ", " + LAST + ", after as (select code, document_id, filed_at, policy from last union all select code, document_id, filed_at, null from fx_records where code not in (select code from last))"
+_HELD_AFTER = """held as (select x.code as rcode, d.*, [] as history, 'EDINET' as source, x.filed_at, f.period_end, x.policy, {url} || d.doc_id as source_url, null::double as own_per, null::double as own_pbr, false as own_trend, false as own_label
+   from after x join docs d on d.doc_id = x.document_id join fx_filings f on f.doc_id = x.document_id)""".replace("{url}", text(rules.SOURCE_URL))
+AFTER = _AFTER + ", " + _HELD_AFTER
+
+VIEW = DOCS + ", " + PAST + ", " + _view(HELD)
+VIEW_AFTER = _AFTER + ", " + _view(_HELD_AFTER)
 
 
 def over(body: str, parts: str = "") -> str:

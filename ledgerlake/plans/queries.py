@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import kpi, rules, scalar
-from ..operators import facts, filings, screen, universe
+from ..operators import facts, filings, records, screen, universe
 from ..sources.snapshots import cleaned_text, finite_everywhere
 from . import oracle as o
 from . import views
@@ -80,7 +80,7 @@ def coverage_status(spark, sf):
 
 @query("select code, theme1, theme2 from themed", o.THEMED)
 def themes(spark, sf):
-    t = universe.themed(derived(spark, sf, "fx_companies"))
+    t = universe.themed(views.companies(spark, sf))
     return t.select("code", F.col("themes")[0].alias("theme1"), F.col("themes")[1].alias("theme2"))
 
 
@@ -166,25 +166,54 @@ def filing_batch(spark, sf):
     return filings.batch(views.accepted(spark, sf)).select("code", "doc_id", "policy")
 
 
-_UPSERT = "last as (select code, arg_max(doc_id, nth) as document_id, arg_max(submit_ts, nth) as filed_at, arg_max(policy, nth) as policy from accepted group by code)"
-
-
-@query("select code, document_id, filed_at, policy from last union all select code, document_id, filed_at, null from fx_records where code not in (select code from last)", o.ACCEPTED + ", " + _UPSERT)
+@query("select code, document_id, filed_at, policy from last union all select code, document_id, filed_at, null from fx_records where code not in (select code from last)", o.ACCEPTED + ", " + o.LAST)
 def upsert_records(spark, sf):
     return filings.upserted(derived(spark, sf, "fx_records"), filings.latest_accepted(views.accepted(spark, sf)))
 
 
 @query(
-    f"""select 415 + count(*) filter (policy = '{rules.ADDED_POLICY}') as added, 1433 + count(*) filter (policy = '{rules.REFRESHED_POLICY}') as refreshed, 12 as failures,
-  (select count(distinct code) from (select code from fx_records union all select code from accepted)) as companies from accepted""",
+    f"""select 415 + count(*) filter (policy = '{rules.ADDED_POLICY}') as added, 1433 + count(*) filter (policy = '{rules.REFRESHED_POLICY}') as refreshed, 12 + count(*) filter (policy = '{rules.FAILED}') as failures,
+  (select count(distinct code) from (select code from fx_records union all select code from accepted)) as companies from scanned""",
     o.ACCEPTED,
 )
 def run_totals(spark, sf):
-    a = views.accepted(spark, sf)
+    a = views.scanned(spark, sf)
     after = filings.upserted(derived(spark, sf, "fx_records"), filings.latest_accepted(a))
     return filings.run_totals(a, after, spark.sql("select 415L as added, 1433L as refreshed, 12 as failures"))
 
 
+@query(
+    "select code, doc_id as document_id, filed_at, period_end, policy, source_url, kpi, value, previous from ("
+    + " union all ".join(f"select rcode as code, doc_id, filed_at, period_end, policy, source_url, '{k}' as kpi, v_{k} as value, p_{k} as previous from held where v_{k} is not null" for k in kpi.RECORD_KPIS)
+    + ")",
+    o.AFTER,
+)
+def record_json(spark, sf):
+    """M7: records after a run, from JSON, a row for each KPI."""
+    r = views.snapshot_records(spark, sf)
+    each = r.select("code", "record", F.explode("record.metrics").alias("kpi", "m"))
+    return each.select("code", F.col("record.documentId").alias("document_id"), F.col("record.filedAt").alias("filed_at"), F.col("record.periodEnd").alias("period_end"), F.col("record.quality.policy").alias("policy"), F.col("record.sourceUrl").alias("source_url"), "kpi", "m.value", F.col("m.previousValue").alias("previous"))
+
+
+_STATUS = ("companies", "targetCompanies", "missingCompanies", "ordinaryMissingCompanies", "newListingOrRecentIpo", "separateModelCompanies", "coverageRatio", "message")
+
+
+@query(
+    """select 'jpx-universe-edinet-ordinary-autofill' as mode, 'ready' as status, 'JPX+EDINET+TDnet' as source, true as "edinetMerged", false as "tdnetOverlay", 80 as "edinetBatchSize", i as companies, t as "targetCompanies", m as "missingCompanies",
+  om as "ordinaryMissingCompanies", nl as "newListingOrRecentIpo", sm as "separateModelCompanies", floor(i / t * 100 * 100 + 0.5) / 100 as "coverageRatio", 415 as "ordinaryFallbackAddedTotal", 1433 as "ordinaryLatestRefreshedTotal", 0 as "ordinaryRefreshFailuresTotal",
+  format('JPX上場企業ユニバースを更新し、対象{:,}社中{:,}社を取得済み、未取得{:,}社。普通企業の未取得は{:,}社。', t, i, m, om) as message from s""",
+    f"""s as (select (select count(*) from fx_companies) as t, (select count(*) from fx_records) as i, count(*) as m,
+  count(*) filter (r = '{rules.ORDINARY}') as om, count(*) filter (r = '{rules.NEW_LISTING}') as nl, count(*) filter (r = '{rules.SEPARATE}') as sm
+  from (select {o.CLASS} as r from fx_companies where code not in (select code from fx_records)))""",
+)
+def status_row(spark, sf):
+    """The status row, with totals from a snapshot's statistics and what the previous row held."""
+    c, r = derived(spark, sf, "fx_companies"), derived(spark, sf, "fx_records")
+    stats = spark.sql("select map('ordinaryFallbackAdded', 415D, 'ordinaryLatestRefreshed', 1433D) as s")
+    before = spark.sql("select 'old' as mode, false as tdnetOverlay, 80 as edinetBatchSize, 1.5D as coverageRatio")
+    return universe.status_row(universe.missing_report(c, r), r, stats, before)
+
+
 # KPIs of companies ---------------------------------------------------------------------------------------------------
 
 
@@ -200,7 +229,11 @@ def _cells_sql() -> str:
         sign = ">=" if more else "<="
         s = o.case([(f"v_{k} is null", "'unknown'"), (f"v_{k} {sign} {good}", "'good'"), (f"v_{k} {sign} {normal}", "'normal'")], "'warning'")
         t = o.case([(f"status = '{n}'", o.text(c)) for n, c in zip(("good", "normal", "warning"), rules.COMMENTS[k], strict=True)], o.text(rules.NO_DATA_COMMENT))
-        rows.append(f"select code, '{k}' as kpi, coalesce({o.r1(f'v_{k}')}, 0) as value, case when v_{k} is not null then {o.r1(f'p_{k}')} end as previous_value, {o.text(unit)} as unit, status, {t} as comment, case when v_{k} is not null and p_{k} is not null then 2 else 0 end as n_trend from (select *, {s} as status from view)")
+        fresh = f"case when fresh_{k} then {o.text(rules.DAY_LABEL)} else {o.text(rules.YEAR_LABEL)} end" if k in ("per", "pbr") else f"case when own_label then '前期差' else {o.text(rules.YEAR_LABEL)} end" if k == "operatingMargin" else o.text(rules.YEAR_LABEL)
+        label = f"case when v_{k} is not null then {fresh} end"
+        pair, own = f"v_{k} is not null and p_{k} is not null", f"v_{k} is not null and own_trend" if k == "roe" else "false"
+        n, first = f"case when {own} then 3 when {pair} then 2 else 0 end", f"case when {own} then 1.3 when {pair} then {o.r1(f'p_{k}')} end"
+        rows.append(f"select code, '{k}' as kpi, coalesce({o.r1(f'v_{k}')}, 0) as value, case when v_{k} is not null then {o.r1(f'p_{k}')} end as previous_value, {o.text(unit)} as unit, status, {t} as comment, {label} as label, {n} as n_trend, {first} as trend_first from (select *, {s} as status from view)")
     return " union all ".join(rows)
 
 
@@ -208,7 +241,7 @@ def _cells_sql() -> str:
 def kpi_cells(spark, sf):
     view = views.company_view(spark, sf)
     cells = view.select("code", F.explode(F.array(*(F.struct(F.lit(k).alias("kpi"), kpi.cell(k).alias("c")) for k in rules.KPIS))).alias("x"))
-    return cells.select("code", "x.kpi", "x.c.value", F.col("x.c.previousValue").alias("previous_value"), "x.c.unit", "x.c.status", "x.c.comment", F.size("x.c.trend").alias("n_trend"))
+    return cells.select("code", "x.kpi", "x.c.value", F.col("x.c.previousValue").alias("previous_value"), "x.c.unit", "x.c.status", "x.c.comment", F.col("x.c.comparisonLabel").alias("label"), F.size("x.c.trend").alias("n_trend"), F.get("x.c.trend", F.lit(0)).alias("trend_first"))
 
 
 _SCORES = [f"s_{n}" for n in rules.SCORES]
@@ -240,7 +273,7 @@ def analysis_comment(spark, sf):
     return views.company_view(spark, sf).select("code", "analysis_comment")
 
 
-_VIEW = ["code", "name", "industry", "data_source", "live_kpis", "s_overall", "close", "change_percent", "has_quote", "has_warning"]
+_VIEW = ["code", "name", "industry", "data_source", "live_kpis", "s_overall", "close", "change_percent", "volume", "has_quote", "has_warning", "filed_at", "period_end", "source_url"]
 
 
 @query(f"select {', '.join(_VIEW)} from view", o.VIEW)
@@ -248,6 +281,13 @@ def company_view(spark, sf):
     return views.company_view(spark, sf).select(*_VIEW)
 
 
+@query(f"select {', '.join(_VIEW)}, v_per, v_pbr, warnings from view", o.VIEW_AFTER)
+def view_from_snapshot(spark, sf):
+    """J4 over the records of the snapshot that a run leaves."""
+    view = screen.company_view(views.companies(spark, sf), records.flat(views.snapshot_records(spark, sf)), derived(spark, sf, "fx_quotes"), derived(spark, sf, "fx_fundamentals"))
+    return view.select(*_VIEW, "v_per", "v_pbr", joined("warnings"))
+
+
 # screener, dashboard, comparison -------------------------------------------------------------------------------------
 
 
@@ -262,13 +302,20 @@ def screen_filter(spark, sf):
     return screen.screened(views.company_view(spark, sf), " Customer#00", "プライム", theme="資本効率", warnings_only=True).select("code", "name")
 
 
+@query("select code, name from fx_companies where contains(lower(code), '7a') or contains(lower(name), '7a')")
+def screen_codes(spark, sf):
+    """F8: codes with letters, found in either case and width."""
+    c = derived(spark, sf, "fx_companies").withColumn("has_warning", F.lit(False))
+    return screen.screened(c, "７a").select("code", "name")
+
+
 _ORDERS = {
     "code-asc": "cast(regexp_extract(code, '^\\d+') as bigint), regexp_replace(code, '^\\d+', ''), seq",
     "score-desc": "case when has_record then 0 else 1 end, case when has_record then s_overall end desc nulls last, seq",
-    "per-asc": "v_per is null, v_per, seq",
-    "pbr-asc": "v_pbr is null, v_pbr, seq",
-    "roe-desc": "v_roe is null, v_roe desc, seq",
-    "operatingMargin-desc": "v_operatingMargin is null, v_operatingMargin desc, seq",
+    "per-asc": f"v_per is null, {o.r1('v_per')}, seq",
+    "pbr-asc": f"v_pbr is null, {o.r1('v_pbr')}, seq",
+    "roe-desc": f"v_roe is null, {o.r1('v_roe')} desc, seq",
+    "operatingMargin-desc": f"v_operatingMargin is null, {o.r1('v_operatingMargin')} desc, seq",
 }
 
 
@@ -336,7 +383,7 @@ def industry_top12(spark, sf):
 
 @query("select theme, count(*) as companies from (select theme1 as theme from themed union all select theme2 from themed) group by theme order by companies desc, theme limit 8", o.THEMED)
 def theme_top8(spark, sf):
-    return screen.theme_counts(universe.themed(derived(spark, sf, "fx_companies")))
+    return screen.theme_counts(universe.themed(views.companies(spark, sf)))
 
 
 @query("select code, name, s_overall from view where has_record order by s_overall desc, seq limit 5", o.VIEW)

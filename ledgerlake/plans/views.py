@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import kpi, rules
-from ..operators import facts, filings, screen
-from ..operators.universe import missing
-from .fixtures import ELEMENTS, derived
+from ..operators import facts, filings, records, screen
+from ..operators.universe import missing, numbered
+from ..sources.snapshots import RECORD
+from . import fixtures
+from .fixtures import derived
+
+AS_OF = "2001-08-02"
 
 
 def metric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_facts with metric names in place of elements."""
     metric_of = {t: m for m, tags in rules.METRIC_TAGS.items() for t in tags}
-    table = F.create_map(*(F.lit(x) for tag, _, _ in ELEMENTS for x in (tag, metric_of[tag])))
-    return derived(spark, sf_dir, "fx_facts").withColumn("metric", F.element_at(table, F.col("tag")))
+    return fixtures.facts(spark, sf_dir, metric=metric_of.__getitem__)
 
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,28 +26,58 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def company_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KPIs of the document that each company's record stands for, with the operating margins of the company's documents
-    up to then as history, oldest first."""
+    up to then as history, oldest first. Some records come from the second source, have ratios, a trend or a label of their own.
+
+    Documents meet filings once, and one aggregation by company picks the record and gathers the history.
+    """
+    held = derived(spark, sf_dir, "fx_records").select(F.col("document_id").alias("doc_id"), F.lit(True).alias("held"))
+    filed = derived(spark, sf_dir, "fx_filings").filter("day_offset >= 45").join(held, "doc_id", "left")
     docs = document_records(spark, sf_dir)
-    held = derived(spark, sf_dir, "fx_records").select("code", F.col("document_id").alias("doc_id"))
-    owners = derived(spark, sf_dir, "fx_filings").filter("day_offset >= 45").select(F.col("company_code").alias("code"), "doc_id", "day_offset")
-    margins = owners.join(docs.select("doc_id", "v_operatingMargin"), "doc_id").filter("v_operatingMargin is not null")
-    past = margins.groupBy("code").agg(F.array_sort(F.collect_list(F.struct((-F.col("day_offset")).alias("d"), "doc_id", F.col("v_operatingMargin").alias("m")))).alias("h"))
-    past = past.select("code", F.transform(F.when(F.size("h") > 3, F.slice("h", -3, 3)).otherwise(F.col("h")), lambda x: x.m).alias("history"))
-    return held.join(docs, "doc_id").join(past, "code", "left").withColumn("history", F.coalesce("history", F.array().cast("array<double>")))
+    kpis = [c for c in docs.columns if c != "doc_id"]
+    margin = F.when(F.col("v_operatingMargin").isNotNull(), F.struct((-F.col("day_offset")).alias("d"), "doc_id", F.col("v_operatingMargin").alias("m")))
+    of_company = filed.join(docs, "doc_id").groupBy(F.col("company_code").alias("code"), F.col("company_seq").alias("seq")).agg(
+        F.max(F.when(F.col("held"), F.struct(*kpis, F.col("submit_ts").alias("filed_at"), "period_end", F.concat(F.lit("u:"), "doc_id").alias("source_url")))).alias("r"), F.array_sort(F.collect_list(margin)).alias("h")
+    )
+    seq = F.col("seq")
+    out = of_company.filter("r is not null").select("code", "seq", "r.*", F.transform(F.when(F.size("h") > 3, F.slice("h", -3, 3)).otherwise(F.col("h")), lambda x: x.m).alias("history"))
+    own = {
+        "source": F.when(seq % 10 == 3, "TDnet").otherwise("EDINET"), "v_per": F.when(seq % 7 == 1, 10.0 + seq % 30), "v_pbr": F.when(seq % 7 == 1, 1.0 + seq % 3),
+        "t_roe": F.when(seq % 5 == 2, F.array(F.lit(1.25), F.lit(2.5), F.col("v_roe"))), "l_operatingMargin": F.when(seq % 6 == 1, "前期差"),
+    }
+    return out.withColumns(own).drop("seq")
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(derived(spark, sf_dir, "fx_companies"))
 
 
 def company_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.company_view(derived(spark, sf_dir, "fx_companies"), company_records(spark, sf_dir), derived(spark, sf_dir, "fx_quotes"), derived(spark, sf_dir, "fx_fundamentals"))
+    return screen.company_view(companies(spark, sf_dir), company_records(spark, sf_dir), derived(spark, sf_dir, "fx_quotes"), derived(spark, sf_dir, "fx_fundamentals"))
 
 
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filings.annual_filings(derived(spark, sf_dir, "fx_filings"), derived(spark, sf_dir, "fx_companies"))
+    listed = filings.dated(derived(spark, sf_dir, "fx_filings").drop("day_offset"), AS_OF)
+    return filings.annual_filings(listed, derived(spark, sf_dir, "fx_companies"))
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 over the derived filings: targets are ordinary companies without a record; documents need a KPI record, and the archive of every
+    seventeenth order fails."""
+    held = derived(spark, sf_dir, "fx_records")
+    targets = missing(derived(spark, sf_dir, "fx_companies"), held).filter(F.col("reason") == rules.ORDINARY).select("code").distinct()
+    found = filings.candidates(annual(spark, sf_dir), held, targets).withColumn("failed", F.col("o_orderkey") % 17 == 0)
+    whole = document_records(spark, sf_dir).select("doc_id", F.lit(True).alias("whole"))
+    return filings.scanned_filings(found.join(whole, "doc_id", "left").filter("failed or whole"))
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W2 over the derived filings: targets are ordinary companies without a record; documents need a KPI record."""
-    records = derived(spark, sf_dir, "fx_records")
-    targets = missing(derived(spark, sf_dir, "fx_companies"), records).filter(F.col("reason") == rules.ORDINARY).select("code").distinct()
-    found = filings.candidates(annual(spark, sf_dir), records, targets)
-    valid = found.join(document_records(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
-    return filings.accepted_filings(valid)
+    return scanned(spark, sf_dir).filter(F.col("policy") != rules.FAILED)
+
+
+def snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, record) of the snapshot after a run: records as they were, with accepted filings in their place, through JSON and back."""
+    before = derived(spark, sf_dir, "fx_records").withColumn("policy", F.lit(None).cast("string"))
+    now = filings.upserted(before, filings.latest_accepted(scanned(spark, sf_dir)))
+    periods = derived(spark, sf_dir, "fx_filings").select(F.col("doc_id").alias("document_id"), "period_end")
+    made = records.built(now.join(periods, "document_id"), document_records(spark, sf_dir), derived(spark, sf_dir, "fx_companies"))
+    return made.select("code", F.from_json(F.to_json("record"), RECORD).alias("record"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -28,36 +28,49 @@ def read_filing_index(spark: SparkSession, path: str, fetch_day: Column | None =
     )
 
 
-def archive_facts(doc_id: str, content: bytes) -> Iterator[tuple]:
-    """Every element with a context of an archive's first XBRL members; one row with an error for an archive that fails."""
+def archive_facts(doc_id: str, read: Callable[[], bytes]) -> list[tuple]:
+    """Every element with a context of an archive's first XBRL members. An archive of which anything fails gives one row with the
+    error and no fact."""
+    rows = []
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = [n for n in z.namelist() if n.lower().endswith(".xbrl")]
+        with zipfile.ZipFile(io.BytesIO(read())) as z:
+            names = [n for n in z.namelist() if n.endswith(".xbrl")]
             public = [n for n in names if "PublicDoc" in n]
             for m, name in enumerate((public or names)[:MOST_MEMBERS]):
                 for e, element in enumerate(ElementTree.fromstring(z.read(name)).iter()):
                     if ref := element.attrib.get("contextRef"):
-                        yield doc_id, m, e, element.tag, ref, element.text, None
-    except (zipfile.BadZipFile, ElementTree.ParseError, OSError, RuntimeError, NotImplementedError) as bad:
-        yield doc_id, None, None, None, None, None, f"{type(bad).__name__}: {bad}"
+                        rows.append((doc_id, m, e, element.tag, ref, element.text, None))
+    except Exception as bad:  # whatever is wrong with one archive must not end the job
+        return [(doc_id, None, None, None, None, None, f"{type(bad).__name__}: {bad}")]
+    return rows
 
 
-def read_archives(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
+def _bytes_of(path: str) -> bytes:
+    """A file's content, read inside a task: local paths, object stores and hdfs."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    fs, at = (LocalFileSystem(), path[5:]) if path.startswith("file:") else FileSystem.from_uri(path)
+    with fs.open_input_stream(at) as f:
+        return f.read()
+
+
+def read_archives(spark: SparkSession, path: str, doc_ids: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Facts of zipped XBRL filings, one row an element; a file is named after its document.
 
-    doc_ids(doc_id) prunes before contents are read. Archives are dealt evenly by document, as parsing costs more than
-    moving them, and go to Python a few at a time.
+    Only names are listed, joined with doc_ids(doc_id) and dealt to so many tasks (shuffle partitions, unless given), as parsing costs far
+    more than the names' shuffle; a task opens the archives that are left, one at a time.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    files = files.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("doc_id"), "content")
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("doc_id"), "path")
     if doc_ids is not None:
         files = files.join(doc_ids, "doc_id", "left_semi")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in FACTS.split(", ")]
         for b in batches:
-            for doc_id, content in zip(b["doc_id"], b["content"], strict=True):
-                rows = pd.DataFrame(list(archive_facts(doc_id, content)), columns=columns)
+            for doc_id, name in zip(b["doc_id"], b["path"], strict=True):
+                rows = pd.DataFrame(archive_facts(doc_id, lambda: _bytes_of(name)), columns=columns)
                 yield rows.astype({"member_idx": "Int32", "elem_idx": "Int32"})
 
-    return files.repartition("doc_id").mapInPandas(parse, FACTS)
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number, which small names don't lower
+    return files.repartition(tasks, "doc_id").mapInPandas(parse, FACTS)

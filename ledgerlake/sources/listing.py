@@ -23,8 +23,9 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """seq, code, name, market, industry from every {code:`..`,name:`..`,market:`..`,industry:`..`} of a text file."""
-    one = r"\{code:`([^`]*)`,name:`([^`]*)`,market:`([^`]*)`,industry:`([^`]*)`\}"
+    """seq, code, name, market, industry from every {code:`..`,name:`..`,market:`..`,industry:`..`} of a text file; entries with an empty
+    field are none."""
+    one = r"\{code:`([^`]+)`,name:`([^`]+)`,market:`([^`]+)`,industry:`([^`]+)`\}"
     text = spark.read.text(path, wholetext=True)
     columns = ("code", "name", "market", "industry")
     fields = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(one), F.lit(i + 1)).alias(c) for i, c in enumerate(columns)))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions import rules
+
 METRIC = "struct<value:double,previousValue:double,trend:array<double>,comparisonLabel:string>"
 RECORD = (
     "struct<code:string,companyName:string,documentId:string,documentType:string,filedAt:string,periodEnd:string,periodType:string,source:string,"
@@ -43,8 +48,13 @@ def read_snapshot(spark: SparkSession, path: str, schema: str, fallback: str | N
 
 def read_records(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
     """Code and record of a financial snapshot; none where the file is absent. Records under another code than their
-    own are left out."""
-    rows = read_snapshot(spark, path, FINANCIALS, fallback).select(F.explode("s.records").alias("code", "record"))
+    own are left out. A folder is one that write_snapshot wrote, whose lines are read in parallel."""
+    if _is_folder(spark, path):
+        lines = cleaned_text(F.regexp_replace("value", r",\s*$", ""))
+        one = F.from_json(F.concat(F.lit("{"), lines, F.lit("}")), f"map<string,{RECORD}>")
+        rows = spark.read.text(path).filter(F.col("value").rlike(r'^"[^"]*":\{"')).select(F.explode(one).alias("code", "record"))
+    else:
+        rows = read_snapshot(spark, path, FINANCIALS, fallback).select(F.explode("s.records").alias("code", "record"))
     return rows.filter(F.coalesce(F.col("record.code") == F.col("code"), F.lit(True)))
 
 
@@ -72,11 +82,59 @@ def finite_everywhere(df: DataFrame) -> DataFrame:
     return df.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema))
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """Finite values as JSON lines."""
-    finite_everywhere(df).write.mode("overwrite").json(path)
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
+def read_stats(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
+    """One row, column s: the statistics of a financial snapshot by name; an empty map where there are none."""
+    if _is_folder(spark, path):
+        head = spark.read.text(path).filter(F.col("value").startswith('{"'))
+        s = head.select(F.from_json(F.concat(F.regexp_replace("value", r",\s*$", ""), F.lit("}")), FINANCIALS)["stats"].alias("s"))
+    else:
+        s = read_snapshot(spark, path, FINANCIALS, fallback).select("s.stats").toDF("s")
+    return s.agg(F.coalesce(F.first("s", ignorenulls=True), F.create_map().cast("map<string,double>")).alias("s"))
+
+
+def _lines(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """A line of text for each row in the order of a unique key, all but the last with a comma."""
+    last = rows.agg(F.max(key).alias("_last"))
+    comma = F.when(F.col(key) != F.col("_last"), ",").otherwise("")
+    dealt = rows.select(key, text.alias("_text")).repartitionByRange(key).sortWithinPartitions(key)
+    return dealt.crossJoin(F.broadcast(last)).select(F.concat("_text", comma).alias("value"))  # one row
+
+
+def _write_text(spark: SparkSession, parts: list[DataFrame | str], path: str) -> None:
+    """Parts one after another as text; files in the order of their names make up the whole."""
+    one = lambda p: p if isinstance(p, DataFrame) else spark.createDataFrame([(p,)], "value string").coalesce(1)
+    reduce(DataFrame.union, map(one, parts)).write.mode("overwrite").text(path)
+
+
+def write_snapshot(records: DataFrame, path: str, stats: dict[str, float] | None = None, generated_at: str = "", status: str = "ready", source: str = "EDINET") -> None:
+    """(code, record) as a financial snapshot of finite values: a folder of text files that make up one JSON object in the order of their
+    names, with a line for each record, so that it is written and read in parallel."""
+    head = json.dumps({"generatedAt": generated_at, "status": status, "source": source, "stats": stats or {}}, ensure_ascii=False)
+    clean = finite_everywhere(records)
+    text = F.concat(F.to_json(F.struct("code")).substr(F.lit(9), F.length(F.to_json(F.struct("code"))) - 9), F.lit(":"), F.to_json("record"))
+    _write_text(records.sparkSession, [head[:-1] + ",", '"records":{', _lines(clean, "code", text), "}}"], path)
+
+
+def write_missing_report(report: DataFrame, missing: DataFrame, path: str, generated_at: str = "") -> None:
+    """The missing report: figures (one row), companies by reason, all of them, and what to do about each reason. Companies are written
+    in parallel, a line each."""
+    names = {"target_companies": "targetCompanies", "implemented_companies": "implementedCompanies", "missing_companies": "missingCompanies", "ordinary_missing": "ordinaryMissingCompanies", "new_listing": "newListingOrRecentIpo", "separate_model": "separateModelCompanies"}
+    figures = {"generatedAt": generated_at} | report.select(*(F.col(c).alias(n) for c, n in names.items())).first().asDict()
+    item = F.to_json(F.struct("code", "name", "market", "industry", "reason"))
+    present = [r.reason for r in missing.groupBy("reason").agg(F.min("seq").alias("s")).orderBy("s").collect()]  # three at most
+    parts: list[DataFrame | str] = [json.dumps(figures, ensure_ascii=False)[:-1] + ',"reasons":{']
+    for i, reason in enumerate(present):
+        parts += [f'"{reason}":[', _lines(missing.filter(F.col("reason") == reason), "seq", item), "]" + "," * (i + 1 < len(present))]
+    parts += ['},"missing":[', _lines(missing, "seq", item), '],"policy":' + json.dumps(rules.POLICIES, ensure_ascii=False) + "}"]
+    _write_text(report.sparkSession, parts, path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small report or status row as one JSON file; callers pass aggregates."""
+    """A small status row as one JSON file; callers pass aggregates."""
     df.coalesce(1).write.mode("overwrite").json(path)

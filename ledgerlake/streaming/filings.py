@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import rules
 from ..operators import filings
+from ..operators.universe import missing
 from ..sources.filings import INDEX_SCHEMA
 
 
@@ -22,21 +24,20 @@ def index_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keep_current(
-    spark: SparkSession, path: str, checkpoint: str, companies: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], valid: Callable[[DataFrame], DataFrame] = lambda found: found,
+    spark: SparkSession, path: str, checkpoint: str, companies: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], valid: Callable[[DataFrame], DataFrame] = lambda found: found, as_of: str | None = None,
 ) -> StreamingQuery:
     """Starts a query that accepts newer filings of each batch into the records (code, document_id, filed_at, policy).
 
     read gives the records as they are and write replaces them; valid drops filings whose archive gives no record. A batch that
-    is repeated after a failure changes nothing, as a filing isn't newer than itself. Day offsets count from the
-    newest day of the batch.
+    is repeated after a failure changes nothing, as a filing isn't newer than itself. Day offsets count to as_of (today, unless given), so
+    an old file that lands late is old. Ordinary companies without a record are missing targets.
     """
 
     def upsert(batch: DataFrame, _: int) -> None:
-        newest = batch.agg(F.max("fetch_day").alias("newest"))
-        dated = batch.crossJoin(newest).withColumn("day_offset", F.datediff("newest", "fetch_day"))  # one row beside each
+        dated = filings.dated(batch, as_of or F.current_date())
         records = read()
-        missing = companies.join(records.select("code"), "code", "left_anti").select("code")
-        found = filings.candidates(filings.annual_filings(dated, companies), records, missing)
+        targets = missing(companies, records).filter(F.col("reason") == rules.ORDINARY).select("code").distinct()
+        found = filings.candidates(filings.annual_filings(dated, companies), records, targets)
         write(filings.upserted(records, filings.latest_accepted(filings.accepted_filings(valid(found)))))
 
     return index_stream(spark, path).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -25,7 +25,6 @@ def test_context_bucket(spark):
 
 def test_rounding_and_ratios(spark):
     assert values(spark, [(1.005,), (-2.5,), (2.675,)], "x double", scalar.round2(F.col("x"))) == [1.0, -2.5, 2.68]
-    assert values(spark, [(2.675,), (1.005,), (0.125,), (None,)], "x double", scalar.exact_round2(F.col("x"))) == [2.67, 1.0, 0.12, None]
     assert values(spark, [(-0.25,), (0.25,)], "x double", scalar.round1(F.col("x"))) == [-0.2, 0.3]
     rows = [(1.0, 3.0), (1.0, 0.0), (None, 2.0), (1.0, None)]
     assert values(spark, rows, "n double, d double", scalar.pct(F.col("n"), F.col("d"))) == [33.33, None, None, None]
