@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session on one machine gets a
+    temporary folder, and a cluster an error, as its executors would write to folders that nobody else sees."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -57,11 +61,12 @@ def learnable(doc_id: Column, modulus: int = 3, held_out: int = 1) -> Column:
 
 
 def learning_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """At most so many rows of each label, those whose ids hash lowest; rows: doc_id and the label, without texts.
+    """At most so many ids of each label, those that hash lowest; rows: doc_id and the label, without texts. Repeated rows count once.
 
     Labels are counted first (one row a label, which is broadcast) and thinned by the hash, so that only about twice the
     wanted rows of a label meet in a task.
     """
+    rows = rows.filter(F.col("doc_id").isNotNull()).distinct()
     counts = rows.groupBy(label).agg(F.count("*").alias("_count"))
     place = F.xxhash64(F.lit("sample"), "doc_id")
     share = (place.cast("double") / float(1 << 63) + 1) / 2
@@ -95,6 +100,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     shared folder, until nothing changes; each step hangs neighbours on the smallest one, so the graph never gets
     denser and no task holds a whole component.
     """
+    # rounds are a guard against a table that changes while it is read: they grow with the logarithm of the longest chain
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -111,5 +117,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if found == mark and found[0] == found[2]:
             break
         mark = found
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
     roots = now.select(F.col("a").alias("id")).distinct()
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(roots.select("id", F.col("id").alias("component")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .common import components, written
-from .shingles import WordHashes, mix, shingle_sets, slices
+from .shingles import give_back, mix, shingle_sets, slices
 
 SHINGLE_WORDS = 5
 #: Eight rows a band keep documents that share a passage and little else apart; a hundred bands miss a pair right at
@@ -40,7 +40,7 @@ SLACK = 5
 #: Rounds of dealing before registers that are still empty get a hash of their own.
 DEALS = 8
 #: Sets that a task remembers, so as not to send the bands of copies again.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Members of a bucket that are compared with each other in one task at a time.
 BLOCK = 512
 
@@ -99,11 +99,10 @@ def sketches(docs: DataFrame) -> DataFrame:
     task has met it before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         met: set[bytes] = set()
         with np.errstate(over="ignore"):
-            for b, texts in slices(batches, rows=2048):
-                sets = shingle_sets(texts, hashes, SHINGLE_WORDS)
+            for b in slices(batches, rows=2048):
+                sets = shingle_sets(b.column("text"), SHINGLE_WORDS)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 digests = [_digest(s) for s in sets]
                 full = [i for i in full if digests[i] not in met and not met.add(digests[i])]
@@ -118,6 +117,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     [b.column("doc_id"), b.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(id128[:, 0]), pa.array(id128[:, 1]), pa.array(reg, pa.binary())],
                     names=["doc_id", "h", "n_shingles", "k1", "k2", "registers"],
                 )
+        give_back()
 
     return docs.select("doc_id", "h", "text").mapInArrow(run, SKETCH)
 
@@ -214,12 +214,12 @@ def _sets(docs: DataFrame) -> DataFrame:
     """Key and shingles of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         with np.errstate(over="ignore"):
-            for b, texts in slices(batches):
-                sets = shingle_sets(texts, hashes, SHINGLE_WORDS)
+            for b in slices(batches):
+                sets = shingle_sets(b.column("text"), SHINGLE_WORDS)
                 id128 = np.frombuffer(b"".join(map(_digest, sets)), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(id128[:, 0]), pa.array(id128[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k1", "k2", "shingles"])
+        give_back()
 
     return docs.select("text").mapInArrow(run, "k1 long, k2 long, shingles array<long>")
 

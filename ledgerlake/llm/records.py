@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import string
 import struct
 import sys
 import types
@@ -23,16 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import new_folder
+from .shingles import give_back, slices
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Words whose ids a process keeps.
-CACHED_WORDS = 1 << 20
+#: Pieces whose ids a process keeps (about 200 bytes each).
+CACHED_PIECES = 1 << 19
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 22
 #: A character that the tokenizer makes one id of; texts that have it are encoded as they are.
 MARK = "\x01"
+#: A text that tells whether a tokenizer works piece by piece.
+PROBE = "It's THE quick-brown (fox_2) of 1984; they'll e-mail a.b@c.org: x==y && 'quoted words' 3.14% don't!! naïve Ünïcode, co\u0301mbined"
 
 INDEX = "shard int, file string, seq long, doc_id long, offset long, length long, n_tokens long"
 RECORDS = "shard int, seq long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -88,9 +95,10 @@ def _filesystem(uri: str):
 class Encoder:
     """Token ids of whole texts.
 
-    The tokenizer ends a token at white space, lower-cases and drops the white space, so the ids of a text are those of
-    its words; each distinct word (ASCII lower case) is encoded once while it is remembered. Texts with
-    a special token's spelling are encoded as they are.
+    A tokenizer that ends its tokens at white space and between ASCII letters, digits and other signs, and takes letters of
+    either case alike, gives a text the ids of its pieces; so each distinct piece of a run of texts is encoded once, and pieces
+    met before aren't encoded again while they are remembered. Whether a file's tokenizer does so is tried when it is loaded; if not, and for
+    texts that hold a special token's spelling, texts are encoded as they are. Apostrophes and other scripts are never cut at.
     """
 
     def __init__(self, path: str):
@@ -98,17 +106,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        # words met lately, and those met before them: ids of each as bytes
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        # pieces with their numbers, in that order; of each number where its ids lie in the pool, how many, and when it was met last
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool, self.turn = np.zeros(0, self.type), 0
+        mark = self._ids(MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.by_piece = self.mark is not None and self._holds()
 
     @classmethod
     def of_process(cls, path: str) -> Encoder:
-        """This process's encoder for a file: workers outlive tasks, and the words they know are worth keeping.
+        """This process's encoder for a file: workers outlive tasks, and the pieces they know are worth keeping.
 
         Functions arrive anew with each task, so it hangs on a module of the process.
         """
@@ -116,54 +126,126 @@ class Encoder:
         known = home.__dict__.setdefault("encoders", {})
         return known.get(path) or known.setdefault(path, cls(path))
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word. Many words are encoded as one text, kept apart by a mark that is one id and in no word."""
-        if self.mark is None:
-            return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
-        out: list[bytes] = []
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(w.decode() for w in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.type)
-            at = np.flatnonzero(ids == self.mark)
-            data, size = ids.tobytes(), self.type.itemsize
-            starts, ends = np.concatenate([[0], at + 1]) * size, np.concatenate([at, [len(ids)]]) * size
-            out += [data[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+
+    def _holds(self) -> bool:
+        """Whether texts have the ids of their pieces, tried on each pair of kinds of characters and each white space."""
+        glue = ("a", "Zq", "7", "42", ",", "(", "!!", "-", "_", "don't", "é", "漢", "'s")
+        texts = [x + y for x in glue for y in glue] + [f"Ab{w}c{w}{w}9" for w in " \t\n\x0b\x0c\r"] + [" lead trail\n", PROBE]
+        return all(np.array_equal(ids, self._ids(t)) for t, (ids, _) in zip(texts, (self._by_pieces(pa.array([t])) for t in texts), strict=True))
+
+    def _encode(self, found: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """All pieces in the order in which their ids lie in a row, the ids, and how many each piece has.
+
+        A piece of printable ASCII without an apostrophe is of one kind, so the tokenizer's model takes it as it is; the others go through
+        the whole tokenizer, many as one text, kept apart by a mark that is one id and in no piece.
+        """
+        plain, other = [], []
+        for p in found:
+            (plain if p.isascii() and p.isprintable() and "'" not in p else other).append(p)
+        ids: list[int] = []
+        ends = []
+        model = self.tokenizer.model.tokenize
+        for p in plain:
+            ids += [t.id for t in model(p)]
+            ends.append(len(ids))
+        all_ids, sizes = [np.array(ids, self.type)], [np.diff(np.array([0, *ends], dtype=np.int64))]
+        for g in (other[i : i + 512] for i in range(0, len(other), 512)):
+            marked = self._ids(f" {MARK} ".join(g))
+            at = np.flatnonzero(marked == self.mark)
             if len(at) != len(g) - 1:
-                raise ValueError("a mark between words was lost")
-        return out
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.young) + len(words) > CACHED_WORDS // 2:
-            self.young, self.old = {}, self.young
-        for w in words.intersection(self.old).difference(self.young):
-            self.young[w] = self.old[w]
-        new = sorted(words.difference(self.young))
-        self.young.update(zip(new, self._encode(new), strict=True))
-
-    def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        lowered = [(t or "").encode().lower() for t in texts]
-        own = [t.split() if self._plain(t) else None for t in lowered]
-        self.learn(set(itertools.chain.from_iterable(filter(None, own))))
-        for text, w in zip(texts, own, strict=True):
-            if w is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type)
-            else:
-                yield np.frombuffer(b"".join(map(self.young.__getitem__, w)), dtype=self.type)
-
-    def _plain(self, text: bytes) -> bool:
-        return MARK.encode() not in text and not any(s in text for s in self.special)
-
-
-def _slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 21) -> Iterator[tuple[list, list]]:
-    """Ids and texts in runs of about so many characters."""
-    for b in batches:
-        ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= chars or i == len(texts) - 1:
-                yield ids[start : i + 1], texts[start : i + 1]
-                start, size = i + 1, 0
+                raise ValueError("a mark between pieces was lost")
+            all_ids.append(np.delete(marked, at))
+            sizes.append(np.diff(np.concatenate([[-1], at, [len(marked)]])) - 1)
+        return plain + other, np.concatenate(all_ids), np.concatenate(sizes)
+
+    def _numbers(self, distinct: list[str]) -> np.ndarray:
+        """The number of each piece; new ones are encoded, and of too many known ones the half that was met last stays."""
+        if len(self.known) > CACHED_PIECES:
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: CACHED_PIECES // 2])
+            names = list(self.known)
+            self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
+            self.pool = _gathered(self.pool, self.starts[keep], self.sizes[keep])
+            self.sizes, self.met = self.sizes[keep], self.met[keep]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        new = [p for p in distinct if p not in self.known]
+        if new:
+            new, ids, sizes = self._encode(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes, self.met = np.concatenate([self.sizes, sizes]), np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            self.pool = np.concatenate([self.pool, ids])
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self.turn += 1
+        self.met[numbers] = self.turn
+        return numbers
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets, coded = pieces(texts)
+        numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        each = numbers[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        sizes = self.sizes[each]
+        return _gathered(self.pool, self.starts[each], sizes), np.concatenate([[0], np.cumsum(sizes)])[offsets].astype(np.int64)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one place more than texts). Null texts have none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = np.ones(len(texts), dtype=bool)
+        if self.by_piece:
+            low = pc.ascii_lower(texts)
+            whole = pc.match_substring(low, MARK).to_numpy(zero_copy_only=False)
+            for s in self.special:
+                whole |= pc.match_substring(low, s).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_pieces(texts)
+        # some are encoded as they are, and put where they belong
+        ids, at = self._by_pieces(pc.if_else(pa.array(whole), "", texts)) if not whole.all() else (np.zeros(0, self.type), np.zeros(len(texts) + 1, np.int64))
+        own = {i: self._ids(texts[i].as_py()) for i in np.flatnonzero(whole).tolist()}
+        parts = [own[i] if i in own else ids[at[i] : at[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of pool that begin at starts, one after another."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def pieces(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where each text's pieces begin (one place more than texts), and the pieces of all, each distinct one once.
+
+    ASCII letters are lowered; texts are cut at ASCII white space, and where an ASCII letter, digit or sign meets one of another
+    kind or two digits meet. White space at a text's ends leaves an empty piece.
+    """
+    low = pc.ascii_lower(texts)
+    ends = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64) if len(low) else np.zeros(1, np.int64)
+    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kind = KINDS[data]
+    cut = np.flatnonzero(CUTS[kind[:-1], kind[1:]]) + 1
+    out = np.full(len(data) + len(cut), 32, np.uint8)
+    kept = np.ones(len(out), dtype=bool)
+    kept[cut + np.arange(len(cut))] = False
+    out[kept] = data
+    ends = (ends + np.searchsorted(cut, ends)).astype(np.int32)
+    spaced = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(out))
+    parts = pc.ascii_split_whitespace(spaced)
+    return parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte (letter, digit, sign, or none of them), and between which kinds texts are cut."""
+    kinds = np.zeros(256, np.uint8)
+    for k, signs in enumerate((string.ascii_letters, string.digits, string.punctuation.replace("'", "")), 1):
+        kinds[list(signs.encode())] = k
+    cuts = np.zeros((4, 4), dtype=bool)
+    cuts[1:, 1:] = ~np.eye(3, dtype=bool)
+    cuts[2, 2] = True
+    return kinds, cuts
+
+
+KINDS, CUTS = _kinds()
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, order: list[str] | None = None) -> DataFrame:
@@ -188,12 +270,15 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
         seq = offset = 0
         rows = []
         with fs.open_output_stream(at) as out:
-            for doc_ids, texts in _slices(itertools.chain([first], batches)):
-                for doc_id, ids in zip(doc_ids, encoder.batch(texts), strict=True):
-                    data = frame(payload_of(doc_id, np.append(ids, ids.dtype.type(end_id))))
+            for b in slices(itertools.chain([first], batches), chars=SLICE):
+                ids, at = encoder.batch(b.column("text"))
+                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))  # each document ends with it
+                for i, doc_id in enumerate(b.column("doc_id").to_pylist()):
+                    data = frame(payload_of(doc_id, ids[at[i] : at[i + 1]]))
                     out.write(data)
-                    rows.append((shard, name, seq, doc_id, offset, len(data), len(ids) + 1))
+                    rows.append((shard, name, seq, doc_id, offset, len(data), int(at[i + 1] - at[i])))
                     seq, offset = seq + 1, offset + len(data)
+        give_back()
         for i in range(0, len(rows), 10_000):  # only now is the file whole
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000]), TYPES, strict=True)], names=NAMES)
 

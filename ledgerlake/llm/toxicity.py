@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import learnable, learning_sample
-from .shingles import slices, words
+from .shingles import give_back, slices, words
 
 WINDOW, STRIDE = 32, 24
 HIDDEN = 8
@@ -280,22 +280,27 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL) -> Network:
-    """Trains on at most per_label whole documents of each label; their texts come to the driver."""
-    marked = labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(learnable(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    sample = learning_sample(marked, "toxic", per_label)  # ids and labels alone
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows)
+    """Trains on at most per_label whole documents of each label; their texts come to the driver.
+
+    An id with clashing labels counts as toxic; of rows that share a chosen id, the smallest text is learnt from.
+    """
+    marked = labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(learnable(F.col("doc_id")))
+    sample = learning_sample(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", per_label)  # ids and labels alone
+    texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = sorted(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").collect())
     return train([r.text for r in rows], [r.toxic for r in rows])
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id and score for each row of docs; one pass over whole texts, nothing is shuffled. Null texts count as empty."""
-    held = docs.sparkSession.sparkContext.broadcast(net)  # the words of a bounded sample and fixed tables
+    # the words of a bounded sample and fixed tables, as plain values: classes of this package can't be read where it isn't installed
+    held = docs.sparkSession.sparkContext.broadcast({"vocabulary": net.vocabulary, "known": net.known, "p": net.p})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = held.value
-        for b, texts in slices(batches, chars=1 << 20):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(net.score(texts))], names=["doc_id", "score"])
+        net = Network(**held.value)
+        for b in slices(batches, chars=1 << 20):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(net.score(b.column("text").to_pylist()))], names=["doc_id", "score"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 

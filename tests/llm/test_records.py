@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from ledgerlake.llm import queries, records
 from ledgerlake.llm.common import new_folder, table
@@ -55,10 +57,33 @@ def test_index_and_damage(spark, sf, tmp_path):
         list(records.read_frames(f))
 
 
-def test_words_are_forgotten_and_learnt_again(monkeypatch):
-    monkeypatch.setattr(records, "CACHED_WORDS", 8)
+def test_pieces_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr(records, "CACHED_PIECES", 8)
     t, e = Tokenizer.from_file(queries.tokenizer_path()), records.Encoder(queries.tokenizer_path())
+    assert e.by_piece
     for text in ("a b c d", "c d e f", "g h", "a b c d e f g h i j", "a z"):
-        ids = next(e.batch([text]))
-        assert list(ids) == t.encode(text, add_special_tokens=False).ids
-        assert len(e.young) + len(e.old) <= 20
+        ids, at = e.batch(pa.array([text, None, text]))
+        one = t.encode(text, add_special_tokens=False).ids
+        assert list(ids) == one * 2 and list(at) == [0, len(one), len(one), 2 * len(one)]
+        assert len(e.known) <= 60 and len(e.known) == len(e.starts) == len(e.sizes)
+
+
+def test_pieces_of_texts():
+    t, e = Tokenizer.from_file(queries.tokenizer_path()), records.Encoder(queries.tokenizer_path())
+    rnd = random.Random(6)
+    signs = ["'", '"', "s", "T", "ll", "é", "İ", "ß", "漢", "\u0301", "\u0338", "<", "=", "|", ">", "-", "_", "0", "9", " ", "\n", "\x0b", "\x85", "\xa0", "😀", "a", "b", ".", ",", "ﬁ", "½"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    ids, at = e.batch(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert list(ids[at[i] : at[i + 1]]) == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_tokenizer_that_does_not_work_by_pieces(tmp_path):
+    """One that knows case gets whole texts."""
+    from tokenizers import models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"A": 0, "a": 1, "[UNK]": 2, records.MARK: 3}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.save(str(tmp_path / "t.json"))
+    e = records.Encoder(str(tmp_path / "t.json"))
+    assert not e.by_piece and list(e.batch(pa.array(["A a", "", "a b"]))[0]) == [0, 1, 1, 2]
