@@ -14,27 +14,31 @@ from ledgerlake.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those far from every centroid, go (operator 6)."""
+    """Documents without a letter, and those far from every centroid, go (operator 6). Null and empty texts go; long texts count whole; rows that
+    repeat or share an id are judged one by one; columns of any name stay as they are; an empty table stays empty."""
     return langid.known_languages(docs, langid.learn(docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (operator 3)."""
+    """One document of each group of near duplicates stays (operator 3), the one with the smallest id; of rows that tie in it, one. Rows without an
+    id or a word stay; texts count whole; columns of any name but doc_id and text are looked past."""
     return near_dedup.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go (operator 7)."""
+    """Documents that hold a passage of the benchmark go (operator 7), by id and text: clean rows that share a leaking one's id, or have none, stay.
+    Null texts stay; an empty benchmark takes nothing; columns of any name stay as they are."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them (operator 8)."""
+    """Documents as often as the mixture takes them (operator 8). A null source is one of its own, null texts have no words; rows that tie in source,
+    size and id are interchangeable, and rows that repeat as a whole each count; columns of any name stay as they are."""
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in record files, read back (operator 10)."""
+    """Token ids in record files, read back (operator 10). Null texts are their end id alone, null ids come first, repeated rows get a record each."""
     return records.digest(docs, tokenizer_path())
 
 

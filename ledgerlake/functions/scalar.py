@@ -39,7 +39,22 @@ def context_bucket(ref: Column, prior: str = "prioryear") -> Column:
 
 
 def round2(x: Column) -> Column:
-    return F.floor(x * 100 + 0.5) / 100
+    """To two places by the exact binary value, halves to even, as records made in Python are rounded.
+
+    The product with 100 is rounded itself, so what it lost is worked out (Dekker, 1971: either half of x times 100 is exact) and decides
+    where the product lies right between two results.
+    """
+
+    def rounded(v: Column) -> Column:
+        product, wide = v * 100, v * float((1 << 27) + 1)
+        high = wide - (wide - v)
+        lost = (high * 100 - product) + (v - high) * 100
+        whole = F.floor(product).cast("double")
+        rest = product - whole
+        up = F.when((rest > 0.5) | ((rest == 0.5) & (lost > 0)), 1.0).when((rest == 0.5) & (lost == 0), F.abs(whole % 2)).otherwise(0.0)
+        return F.when(F.abs(v) >= float(1 << 45), v).otherwise((whole + up) / 100)
+
+    return F.get(F.transform(F.array(x), rounded), F.lit(0))  # so that x is worked out once
 
 
 def round1(x: Column) -> Column:

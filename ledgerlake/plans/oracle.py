@@ -16,7 +16,11 @@ def case(pairs: list[tuple[str, str]], otherwise: str = "null") -> str:
 
 
 def r2(x: str) -> str:
-    return f"(floor(({x}) * 100 + 0.5) / 100)"
+    """Two places by the exact binary value, halves to even: what the product with 100 lost decides between two results."""
+    high = "(v * 134217729 - (v * 134217729 - v))"
+    lost = f"(({high} * 100 - v * 100) + (v - {high}) * 100)"
+    up = f"case when v * 100 - floor(v * 100) > 0.5 or (v * 100 - floor(v * 100) = 0.5 and {lost} > 0) then 1 when v * 100 - floor(v * 100) = 0.5 and {lost} = 0 then abs(floor(v * 100) % 2) else 0 end"
+    return f"list_transform([cast(({x}) as double)], lambda v: (floor(v * 100) + {up}) / 100)[1]"
 
 
 def r1(x: str) -> str:

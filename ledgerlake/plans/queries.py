@@ -67,9 +67,9 @@ def missing_counts(spark, sf):
 
 
 @query(
-    """select target_companies, implemented_companies, case when m = 0 then greatest(target_companies - implemented_companies, 0) else m end as missing_companies, ordinary_missing, new_listing, separate_model,
-  floor(implemented_companies / target_companies * 100 * 100 + 0.5) / 100 as coverage_ratio,
-  format('JPX上場企業ユニバースを更新し、対象{:,}社中{:,}社を取得済み、未取得{:,}社。普通企業の未取得は{:,}社。', target_companies, implemented_companies, case when m = 0 then greatest(target_companies - implemented_companies, 0) else m end, ordinary_missing) as message from s""",
+    f"""select target_companies, implemented_companies, case when m = 0 then greatest(target_companies - implemented_companies, 0) else m end as missing_companies, ordinary_missing, new_listing, separate_model,
+  {o.r2('implemented_companies / target_companies * 100')} as coverage_ratio,
+  format('JPX上場企業ユニバースを更新し、対象{{:,}}社中{{:,}}社を取得済み、未取得{{:,}}社。普通企業の未取得は{{:,}}社。', target_companies, implemented_companies, case when m = 0 then greatest(target_companies - implemented_companies, 0) else m end, ordinary_missing) as message from s""",
     f"""s as (select (select count(*) from fx_companies) as target_companies, (select count(*) from fx_records) as implemented_companies, count(*) as m,
   count(*) filter (r = '{rules.ORDINARY}') as ordinary_missing, count(*) filter (r = '{rules.NEW_LISTING}') as new_listing, count(*) filter (r = '{rules.SEPARATE}') as separate_model
   from (select {o.CLASS} as r from fx_companies where code not in (select code from fx_records)))""",
@@ -199,9 +199,9 @@ _STATUS = ("companies", "targetCompanies", "missingCompanies", "ordinaryMissingC
 
 
 @query(
-    """select 'jpx-universe-edinet-ordinary-autofill' as mode, 'ready' as status, 'JPX+EDINET+TDnet' as source, true as "edinetMerged", false as "tdnetOverlay", 80 as "edinetBatchSize", i as companies, t as "targetCompanies", m as "missingCompanies",
-  om as "ordinaryMissingCompanies", nl as "newListingOrRecentIpo", sm as "separateModelCompanies", floor(i / t * 100 * 100 + 0.5) / 100 as "coverageRatio", 415 as "ordinaryFallbackAddedTotal", 1433 as "ordinaryLatestRefreshedTotal", 0 as "ordinaryRefreshFailuresTotal",
-  format('JPX上場企業ユニバースを更新し、対象{:,}社中{:,}社を取得済み、未取得{:,}社。普通企業の未取得は{:,}社。', t, i, m, om) as message from s""",
+    f"""select 'jpx-universe-edinet-ordinary-autofill' as mode, 'ready' as status, 'JPX+EDINET+TDnet' as source, true as "edinetMerged", false as "tdnetOverlay", 80 as "edinetBatchSize", i as companies, t as "targetCompanies", m as "missingCompanies",
+  om as "ordinaryMissingCompanies", nl as "newListingOrRecentIpo", sm as "separateModelCompanies", {o.r2('i / t * 100')} as "coverageRatio", 415 as "ordinaryFallbackAddedTotal", 1433 as "ordinaryLatestRefreshedTotal", 0 as "ordinaryRefreshFailuresTotal",
+  format('JPX上場企業ユニバースを更新し、対象{{:,}}社中{{:,}}社を取得済み、未取得{{:,}}社。普通企業の未取得は{{:,}}社。', t, i, m, om) as message from s""",
     f"""s as (select (select count(*) from fx_companies) as t, (select count(*) from fx_records) as i, count(*) as m,
   count(*) filter (r = '{rules.ORDINARY}') as om, count(*) filter (r = '{rules.NEW_LISTING}') as nl, count(*) filter (r = '{rules.SEPARATE}') as sm
   from (select {o.CLASS} as r from fx_companies where code not in (select code from fx_records)))""",

@@ -1,5 +1,7 @@
 """Values at and around each threshold."""
 
+import random
+
 import pytest
 from ledgerlake.functions import kpi, rules, scalar
 from ledgerlake.operators import universe
@@ -24,7 +26,9 @@ def test_context_bucket(spark):
 
 
 def test_rounding_and_ratios(spark):
-    assert values(spark, [(1.005,), (-2.5,), (2.675,)], "x double", scalar.round2(F.col("x"))) == [1.0, -2.5, 2.68]
+    rnd = random.Random(1)
+    numbers = [1.005, -2.5, 2.675, -2.675, 0.125, -0.125, 0.375, 1e300, -1e15, 0.0, 1e-320, *(rnd.randrange(-(10**7), 10**7) / 1000 for _ in range(4000)), *(rnd.randrange(-(10**6), 10**6) / 8 for _ in range(500)), *(rnd.uniform(-1e9, 1e9) for _ in range(500))]
+    assert values(spark, [(x,) for x in numbers] + [(None,)], "x double", scalar.round2(F.col("x"))) == [*(round(x, 2) for x in numbers), None]
     assert values(spark, [(-0.25,), (0.25,)], "x double", scalar.round1(F.col("x"))) == [-0.2, 0.3]
     rows = [(1.0, 3.0), (1.0, 0.0), (None, 2.0), (1.0, None)]
     assert values(spark, rows, "n double, d double", scalar.pct(F.col("n"), F.col("d"))) == [33.33, None, None, None]
