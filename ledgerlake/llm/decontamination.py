@@ -6,8 +6,9 @@ joined between benchmark and documents; a hit fixes an alignment, and the words
 document leaks an item if some WINDOW aligned words (all of a shorter item) agree in SHARE of their places; places beyond
 the document's ends count as places that differ.
 
-Items of up to SHORT words have masks of their own length, which leave out every set of places that SHARE lets differ, so
-none of their leaks is missed. Items of LEAST_WORDS words must be whole: four words alone identify too little.
+The masks miss no leak. Items of up to SHORT words have masks of their own length, which leave out every set of places that SHARE lets differ;
+of longer ones, three places of a window may differ, and whichever do, one of the three MASKS (found by search over all masks of six words) has
+a position in 15 words in a row that looks at none of them. Items of LEAST_WORDS words must be whole: four words alone identify too little.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import written
 
 #: Fixed masks: offsets of the words that count.
-MASKS = ((0, 1, 3, 5, 6, 8), (0, 1, 2, 4, 7, 8))
-SPAN = 9
+MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))
 WINDOW = 16
 SHARE = 0.8
 #: Items with fewer words identify nothing and never match.
@@ -42,9 +42,14 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def required(length: int) -> int:
+    """Words of so many beside each other that must agree: SHARE of them, and all of LEAST_WORDS."""
+    return length if length <= LEAST_WORDS else math.ceil(length * SHARE)
+
+
 def masks_of(length: int) -> list[tuple[int, ...]]:
     """Masks for items of so many words: whatever places differ, as far as SHARE allows, some mask looks at none of them."""
-    differ = 0 if length == LEAST_WORDS else length - math.ceil(length * SHARE)
+    differ = length - required(length)
     step = length // (differ + 2)
     groups = [range(i, min(i + step, length)) for i in range(0, length, step)]
     masks = set()
@@ -94,12 +99,10 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("first", first).withColumn("aligned", last - first)
     same = F.expr("transform(sequence(first, first + aligned - 1), i -> if(w[i] = d[i + shift], 1, 0))")
     pairs = pairs.withColumn("same", same).withColumn("window", F.least(F.lit(WINDOW), F.size("w")))
-    # the sum of each window, as the difference of two running sums
-    sums = F.expr("aggregate(same, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))")
-    pairs = pairs.withColumn("sums", sums)
-    least = F.ceil(F.col("window") * SHARE)
-    matched = F.element_at("sums", -1)
-    inside = F.expr("array_max(transform(sequence(0, aligned - window), i -> sums[i + window] - sums[i]))")
+    least = F.when(F.col("window") <= LEAST_WORDS, F.col("window")).otherwise(F.ceil(F.col("window") * SHARE))
+    matched = F.expr("aggregate(same, 0, (a, x) -> a + x)")
+    # a window is WINDOW words at most, so summing each anew is in proportion to the aligned words
+    inside = F.expr("array_max(transform(sequence(0, aligned - window), i -> aggregate(slice(same, i + 1, window), 0, (a, x) -> a + x)))")
     pairs = pairs.withColumn("best", F.when(F.col("aligned") >= F.col("window"), inside).otherwise(matched))
     return pairs.filter(F.col("best") >= least).select("doc_id", "h", "item_id", matched.alias("matched"), "aligned", (F.col("first") + F.col("shift")).alias("doc_start"))
 
@@ -110,12 +113,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Of several alignments of an item the one with the most agreeing words counts, then the earliest. aligned is
     the number of words that lie beside each other and doc_start the document's first of them. Null or empty texts leak
     nothing; documents with a null id are reported with it; repeated rows give one row; items that are null, or have fewer
-    than LEAST_WORDS words, never match. Other columns are ignored.
+    than LEAST_WORDS words (see unusable_items), never match. Whole texts count, however long. Other columns are ignored.
     """
     best = _found(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("doc_start")).alias("n"), "aligned")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("b.aligned").cast("long").alias("aligned"), (-F.col("b.n")).cast("long").alias("doc_start"))
 
 
+def unusable_items(benchmark: DataFrame) -> DataFrame:
+    """item_id and words of the items that never match, as they have fewer than LEAST_WORDS words."""
+    return benchmark.select("item_id", F.size(word_hashes(F.col("text"))).alias("words")).filter(F.col("words") < LEAST_WORDS)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text leaks no item; rows that share their id, or have none, are told apart by a hash of their text."""
     bad = _found(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("h").alias("_h")).distinct()
@@ -123,31 +131,24 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    def seeds(table: str, key: str) -> str:
-        parts = []
-        for k, m in enumerate(MASKS):
-            picked = " || '|' || ".join(f"lead(tok, {o}) over w" if o else "tok" for o in m)
-            parts.append(f"select {key}, pos, '{k}|' || {picked} as seed from {table} window w as (partition by {key} order by pos)")
-        return " union all ".join(parts)
-
+    """Every alignment of a document and an item that share three words in a row is compared. Of words that leak an item some three lie so, whatever
+    places SHARE lets differ, so this stands on no mask."""
+    words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    three = lambda table, key: f"select {key}, i, t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3] as seed from (select {key}, t, unnest(range(len(t) - 2)) as i from {table} where len(t) >= 3)"
     return f"""
-with bt as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as t from benchmark),
-b as (select item_id, unnest(t) as tok, unnest(range(len(t))) as pos, len(t) as n from bt where len(t) >= {SPAN}),
-dt as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as t from documents),
-d as (select doc_id, unnest(t) as tok, unnest(range(len(t))) as pos, len(t) as n from dt),
-bs as ({seeds('b', 'item_id')}), ds as ({seeds('d', 'doc_id')}),
-hits as (select distinct doc_id, item_id, ds.pos - bs.pos as shift from ds join bs using (seed) where seed is not null),
-al as (select h.doc_id, h.item_id, h.shift, b.pos, d.pos as dpos, b.n, cast(b.tok = d.tok as int) as same
-       from hits h join b on b.item_id = h.item_id join d on d.doc_id = h.doc_id and d.pos = b.pos + h.shift),
-win as (select *, sum(same) over w as s, count(*) over w as c from al
-        window w as (partition by doc_id, item_id, shift order by pos rows between current row and {WINDOW - 1} following)),
-per as (select doc_id, item_id, shift, sum(same) as matched, count(*) as aligned, min(dpos) as doc_start,
-        max(case when c = least({WINDOW}, n) then s else 0 end) as best, max(n) as n from win group by all),
-ok as (select * from per where best >= ceil(least({WINDOW}, n) * {SHARE})),
-one as (select *, row_number() over (partition by doc_id, item_id order by matched desc, doc_start) as rn from ok)
+with b as (select item_id, {words} as t, len(t) as n from benchmark where len({words}) >= {LEAST_WORDS}),
+d as (select doc_id, {words} as t from documents),
+bs as ({three('b', 'item_id')}), ds as ({three('d', 'doc_id')}),
+hits as (select distinct doc_id, item_id, ds.i - bs.i as shift from ds join bs using (seed)),
+al as (select doc_id, item_id, shift, b.t as w, d.t as x, least({WINDOW}, b.n) as win, greatest(0, -shift) as first, least(b.n, len(d.t) - shift) - greatest(0, -shift) as aligned
+       from hits join b using (item_id) join d using (doc_id)),
+sm as (select doc_id, item_id, shift, first, aligned, win, list_transform(range(first, first + aligned), lambda i: cast(w[i + 1] = x[i + shift + 1] as int)) as same from al),
+per as (select doc_id, item_id, list_sum(same) as matched, aligned, first + shift as doc_start, case when win <= {LEAST_WORDS} then win else ceil(win * {SHARE}) end as least,
+        case when aligned >= win then list_max(list_transform(range(aligned - win + 1), lambda i: list_sum(same[i + 1 : i + win]))) else list_sum(same) end as best from sm),
+one as (select *, row_number() over (partition by doc_id, item_id order by matched desc, doc_start) as rn from per where best >= least)
 select doc_id, item_id, cast(matched as bigint) as matched, cast(aligned as bigint) as aligned, cast(doc_start as bigint) as doc_start from one where rn = 1
 """
 
 
-#: DuckDB: the same masks over every word of both tables (items of that table have SPAN words and more).
+#: DuckDB: all alignments, without masks.
 ORACLE = _oracle()
