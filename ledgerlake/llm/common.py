@@ -46,6 +46,19 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_with_hot(rows: DataFrame, side: DataFrame, on: list[str], count: str, hot: int, most: int) -> DataFrame:
+    """rows joined with side, which has one row for each value of on and in count how many rows have it.
+
+    Values that hot rows and more share are sent to every task, if there are at most so many of them, so that their rows stay where they are;
+    the others are joined by a shuffle. side should be a written table, as it is read several times.
+    """
+    shared = side.filter(F.col(count) >= hot).drop(count)
+    if not 0 < shared.count() <= most:
+        return rows.join(side.drop(count), on)
+    rest = rows.join(F.broadcast(shared.select(*on)), on, "left_anti").join(side.filter(F.col(count) < hot).drop(count), on)
+    return rows.join(F.broadcast(shared), on).unionByName(rest)
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -7,8 +7,8 @@ of their Jaccard similarity for small sets too. Bands of registers give candidat
 for registers that agree by chance, drops those far below the threshold; the rest are confirmed on full shingle sets.
 
 Documents with the same set are one class. A band's bucket is never expanded into rows of pairs: its members meet the
-smallest and the largest of them, the links form components, and then the other members meet those of
-different components in blocks, inside tasks, which give back only pairs whose registers agree well enough. So no
+smallest of them, in the first bands, then the smallest and largest ones of the others where links haven't made them one component yet; and at
+last the members meet those of different components in blocks, inside tasks, which give back only pairs whose registers agree well enough. So no
 candidate is lost, and a group of copies costs about its size.
 """
 
@@ -20,9 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import components, written
+from .common import components, joined_with_hot, written
 from .shingles import give_back, mix, shingle_sets, slices
 
 SHINGLE_WORDS = 5
@@ -31,6 +31,8 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 100, 8
 K = BANDS * ROWS
 LZ_BITS, MANTISSA_BITS = 3, 5
+#: Bands that are looked at first; nearly all members of a group of near copies share one of them with its smallest one.
+FIRST = 12
 #: Bits of a hash that order it within its bucket; the others choose the bucket.
 VALUE_BITS = 40
 #: Links have 100 * intersection >= PERCENT * union.
@@ -41,6 +43,8 @@ SLACK = 5
 DEALS = 8
 #: Sets that a task remembers, so as not to send the bands of copies again.
 REMEMBERED = 1 << 18
+#: Members from which a bucket's facts are sent to every task instead of its members to one; buckets that are sent at most.
+HOT_BUCKET, MOST_HOT = 1000, 200_000
 #: Members of a bucket that are compared with each other in one task at a time.
 BLOCK = 512
 
@@ -85,9 +89,10 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band: its eight registers and its number, mixed by a one-to-one function."""
+    """A 64-bit key for each band: its eight registers and its number, mixed by a one-to-one function; the keys of the FIRST bands are even."""
     bands = np.ascontiguousarray(regs).view(np.uint64)
-    return mix(bands ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
+    keys = mix(bands ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)))
+    return ((keys & ~np.uint64(1)) | (np.arange(BANDS) >= FIRST).astype(np.uint64)).view(np.int64)
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -163,21 +168,22 @@ def estimate(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Serie
 def _met_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of a bucket in different components, both of whose registers agree well enough.
 
-    rows: key, cid, component, n, registers. A bucket is cut into blocks of BLOCK members; a pair of blocks is one piece
-    of work, so a task holds two blocks at a time. A pair that shares several buckets is given by its first band alone.
+    rows: key, cid, component, n, registers. A bucket is cut into blocks of about BLOCK members by a hash of the cid; a pair of blocks is one
+    piece of work, so a task holds two blocks at a time. A pair that shares several buckets is given by its first band alone.
     """
     least = least_estimate(percent)
-    rank = F.row_number().over(W.partitionBy("key").orderBy("cid"))
-    ranked = rows.withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
-    blocks = ranked.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = ranked.join(blocks, "key").withColumn("other", other).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+    dealt = dealt.withColumn("other", other).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
     dealt = dealt.select("key", "p", "q", "block", "cid", "component", "n", "registers")
 
     def compare(bucket: list[tuple]) -> tuple[list[int], list[int]]:
         key = bucket[0][0]
         first = [r for r in bucket if r[3] == r[1]]
         second = first if bucket[0][1] == bucket[0][2] else [r for r in bucket if r[3] == r[2]]
+        if not first or not second:
+            return [], []
         x, y = (np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint8).reshape(-1, K) for rows in (first, second))
         (cx, cy), (kx, ky), (nx, ny) = ([np.array([r[i] for r in rows]) for rows in (first, second)] for i in (4, 5, 6))
         band = int(np.flatnonzero(band_keys(x[:1])[0] == key)[0])
@@ -241,6 +247,13 @@ def _on_full_sets(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return full.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that are of different components so far."""
+    of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _row_hash() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
@@ -260,8 +273,8 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     shared = banded.groupBy("key").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x < y").select("key")
     met = written(banded.join(shared, "key", "left_semi").distinct(), "met")
     named = met.join(classes.select("k1", "cid"), "k1").select("key", "cid")
-    ends = named.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-    members = written(named.join(ends, "key").filter("lo < hi"), "members")
+    ends = written(named.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n")).filter("lo < hi"), "ends")
+    members = written(joined_with_hot(named, ends, ["key"], "n", HOT_BUCKET, MOST_HOT), "members")
     sketched = sk.filter("registers is not null").join(met.select("k1").distinct(), "k1", "left_semi")
     reps = sketched.join(classes, ["k1", "k2"]).select("cid", F.col("n_shingles").alias("n"), "registers").distinct()
     reps = written(reps, "reps")
@@ -270,13 +283,21 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     sets = _sets(docs.join(wanted.select("h"), "h", "left_semi")).join(wanted.select("k1", "k2", F.col("cid").alias("id")), ["k1", "k2"])
     sets = written(sets.select("id", "shingles"), "sets").dropDuplicates(["id"])
 
-    first = members.filter("cid > lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).union(members.filter("cid < hi and cid > lo").select(F.col("cid").alias("a"), F.col("hi").alias("b"))).distinct()
-    links = written(_confirmed(first, reps, sets, percent), "links")
+    with_least = members.filter("cid > lo").select("key", F.col("lo").alias("a"), F.col("cid").alias("b"))
+    with_largest = members.filter("cid < hi and cid > lo").select("key", F.col("cid").alias("a"), F.col("hi").alias("b"))
+    early = F.col("key").bitwiseAND(1) == 0
+    links = written(_confirmed(with_least.filter(early).select("a", "b").distinct(), reps, sets, percent), "links")
     found = written(components(links), "components")
+    # the same for the other bands, and with the largest, where links haven't joined them
+    later = with_least.filter(~early).union(with_largest).select("a", "b").distinct()
+    more = written(_confirmed(_apart(later, found), reps, sets, percent), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        found = written(components(links), "components")
     # the others of a bucket, where they are of several components
     placed = members.filter("cid > lo and cid < hi").select("key", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    rest = written(placed.join(split, "key", "left_semi"), "rest")
+    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y").select("key", "n")
+    rest = written(joined_with_hot(placed, written(split, "split"), ["key"], "n", HOT_BUCKET, MOST_HOT), "rest")
     if not rest.isEmpty():
         likely = written(_met_in_blocks(rest.join(reps, "cid"), percent), "likely")
         found = written(components(links.union(_on_full_sets(likely, sets, percent))), "components")
