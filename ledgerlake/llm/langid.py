@@ -28,8 +28,8 @@ CENTROIDS = 4
 LEAST_MEMBERS = 8
 #: Texts are rejected below this share of the cosine that all but this part of a language's learnt documents reach.
 REJECT_SHARE, REJECT_BELOW = 0.5, 0.01
-#: Texts whose dense vectors are held at a time.
-ROWS = 128
+#: Texts whose dense vectors are held at a time, and bytes of them.
+ROWS, BYTES = 128, 1 << 19
 UNDETERMINED = "und"
 
 _SYMBOLS = np.arange(256, dtype=np.uint8)
@@ -110,7 +110,7 @@ def learn(docs: DataFrame, per_language: int = LEARN_PER_LANGUAGE, k: int = CENT
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])  # per_language ids a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, rows=ROWS):
+        for b in slices(batches, BYTES, ROWS):
             texts = b.column("text").to_pylist()
             at = [i for i, t in enumerate(texts) if has_letter(t)]
             seen = [np.unique(trigram_ids(texts[i]), return_counts=True) for i in at]
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**held.value)
-        for b in slices(batches, rows=ROWS):
+        for b in slices(batches, BYTES, ROWS):
             lang, score, rejected = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*(f.name for f in kept), "lang_pred", "score", "rejected"])
         give_back()

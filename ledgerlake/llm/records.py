@@ -33,7 +33,7 @@ from .shingles import give_back, slices
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Pieces whose ids a process keeps (about 200 bytes each).
-CACHED_PIECES = 1 << 19
+CACHED_PIECES = 1 << 18
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 22
 #: A character that the tokenizer makes one id of; texts that have it are encoded as they are.
