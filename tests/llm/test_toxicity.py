@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from ledgerlake.llm import toxicity
 from ledgerlake.llm.common import table
@@ -8,7 +10,7 @@ def test_held_out_accuracy(spark):
     got = toxicity.digest(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
     tp = sum(r.predicted == 1 and r.toxic == 1 for r in got)
     # some labels of this table are noise: one in fourteen toxic documents is junk without a toxic word
-    assert tp / sum(r.toxic for r in got) > 0.75 and tp / sum(r.predicted for r in got) > 0.85
+    assert tp / sum(r.toxic for r in got) > 0.8 and tp / sum(r.predicted for r in got) > 0.9
 
 
 def test_every_word_lies_in_a_window():
@@ -50,3 +52,73 @@ def test_odd_rows(spark):
     assert [r.score for r in got if r.doc_id in (30, 31)] == [0, 0]
     assert toxicity.digest(docs.limit(0), labels).count() == 0
     assert {r.predicted for r in toxicity.digest(docs, labels.limit(0)).collect()} == {0}
+
+
+def plain_score(net, text):
+    """The score of a text in scalar arithmetic, a word at a time, from the formulas of the network."""
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    column = lambda m, j: [row[j] for row in m]
+    h = toxicity.HIDDEN
+
+    def vector(word):
+        own = p["word"][net.vocabulary.get(word, 0)]
+        marked, buckets = b"^" + word + b"$", []
+        for n in toxicity.GRAMS:
+            for i in range(len(marked) - n + 1):
+                code = 0
+                for k, c in enumerate(marked[i : i + n]):
+                    code = ((code * 0x01000193) & 0xFFFFFFFF) ^ c if k else code ^ c
+                x = ((code + n) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF
+                buckets.append((x ^ (x >> 15)) & (toxicity.CHAR_BUCKETS - 1))
+        scale = max(len(buckets), 1) ** -0.5
+        known = [b for b in buckets if net.known[b]]
+        return own + [sum(p["char"][b][j] for b in known) * scale for j in range(toxicity.CHAR_DIM)]
+
+    def run(vectors, way):
+        w, u, b = p[f"W{way}"], p[f"U{way}"], p[f"b{way}"]
+        state, out = [0.0] * h, []
+        for x in vectors if way == "f" else reversed(vectors):
+            into = [dot(x, column(w, j)) + b[j] for j in range(3 * h)]
+            gate = [sig(into[j] + dot(state, column(u, j))) for j in range(2 * h)]
+            r, z = gate[:h], gate[h:]
+            kept = [a * c for a, c in zip(r, state, strict=True)]
+            new = [math.tanh(into[2 * h + j] + dot(kept, column(u, 2 * h + j))) for j in range(h)]
+            state = [c + g * (s - c) for c, g, s in zip(new, z, state, strict=True)]
+            out.append(state)
+        return out if way == "f" else out[::-1]
+
+    words = (text or "").encode().lower().split()
+    best = -1e4
+    for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if words else []:
+        vectors = [vector(w) for w in words[start : start + toxicity.WINDOW]]
+        states = [f + b for f, b in zip(run(vectors, "f"), run(vectors, "b"), strict=True)]
+        e = [math.exp(min(30, max(-30, dot([math.tanh(dot(s, column(p["A"], j))) for j in range(2 * h)], p["v"])))) for s in states]
+        pooled = [sum(w * s[j] for w, s in zip(e, states, strict=True)) / sum(e) for j in range(2 * h)]
+        best = max(best, dot(pooled, p["o"]) + p["c"][0])
+    return sig(p["scale"][0] * best + p["shift"][0])
+
+
+def test_scores_against_scalar_arithmetic(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    net = toxicity.learn(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.filter("length(text) < 1200").limit(12).collect()} | {-1: None, -2: "", -3: "ÄÖ idiot " * 40}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.scored(df, net).collect()}
+    assert all(abs(got[i] - plain_score(net, t)) < 2e-3 for i, t in texts.items())
+
+
+def test_clashing_labels_and_repeated_ids(spark):
+    """The sample is bounded in rows: one text an id, and a label of 1 wins."""
+    rows = [(i, f"one two word{i} " * 30 + ("nasty nasty" if i % 2 else "")) for i in range(30)] + [(1, f"spare {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, 0), (1, 0)], "doc_id long, toxic int")
+    seen = []
+    real, toxicity.train = toxicity.train, lambda texts, y: seen.append((texts, y)) or real(texts, y)
+    try:
+        toxicity.learn(docs, labels)
+    finally:
+        toxicity.train = real
+    texts, y = seen[0]
+    assert len(texts) <= 30 and sum(t.startswith("spare") for t in texts) == 0 and all(v == ("nasty" in t) for t, v in zip(texts, y, strict=True))
