@@ -1,6 +1,7 @@
 """Secret scan and decontamination on odd rows and against plain Python."""
 
 import hashlib
+import random
 import re
 from itertools import combinations
 
@@ -94,3 +95,70 @@ def test_short_and_cut_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([*((n, " ".join(w)) for n, w in items.items()), (99, han)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want
+
+
+def test_masks_miss_no_leak():
+    """Of every length, whatever words differ or are cut off at an end of the document, a mask looks at none of them."""
+    for n in range(decontamination.LEAST_WORDS, 20):
+        window = min(n, decontamination.WINDOW)
+        masks = decontamination.masks_of(n) if n <= decontamination.SHORT else decontamination.MASKS
+        seen = [{i + o for o in m} for m in masks for i in range(n - m[-1])]
+        for at in range(n - window + 1):
+            for places in combinations(range(at, at + window), window - decontamination.required(window)):
+                outside = (set(range(at)) | set(range(at + window, n))) if n > window else set()
+                assert any(not p & (set(places) | outside) for p in seen), (n, places)
+
+
+def test_leaks_against_all_alignments(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    items = [(100 + i, " ".join(rnd.choice(words) for _ in range(rnd.choice([3, 4, 5, 6, 9, 12, 15, 16, 17, 40])))) for i in range(40)]
+    rows = []
+    for d in range(150):
+        text = [rnd.choice(words) for _ in range(rnd.randrange(30))]
+        for _ in range(rnd.randrange(3)):
+            w = [x if rnd.random() > 0.15 else "other" for x in rnd.choice(items)[1].split()]
+            at = rnd.randrange(len(text) + 1)
+            text[at:at] = w[rnd.randrange(3) :]
+        rows.append((d, " ".join(text)))
+    want = set()
+    for d, text in rows:
+        x = text.split()
+        for item, t in items:
+            w = t.split()
+            if len(w) < decontamination.LEAST_WORDS:
+                continue
+            best = None
+            for shift in range(-len(w) + 1, len(x)):
+                first, last = max(0, -shift), min(len(w), len(x) - shift)
+                same = [w[i] == x[i + shift] for i in range(first, last)]
+                win = min(decontamination.WINDOW, len(w))
+                score = max(sum(same[i : i + win]) for i in range(len(same) - win + 1)) if len(same) >= win else sum(same)
+                if score >= decontamination.required(win):
+                    best = max(best or (0,), (sum(same), -(first + shift), len(same)))
+            if best:
+                want.add((d, item, best[0], best[2], -best[1]))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontamination.leaks(docs, bench).select("doc_id", "item_id", "matched", "aligned", "doc_start").collect()}
+    assert got == want and len(want) > 50
+    assert {r.item_id for r in decontamination.unusable_items(bench).collect()} == {i for i, t in items if len(t.split()) < 5}
+
+
+def test_many_matches_in_a_text(spark):
+    rnd = random.Random(2)
+    text = " ".join(f"{rnd.getrandbits(128):032x}" + ("" if i % 50 else " Zk3Jq9Xw7Lp2Vb8Nm4Rt6") for i in range(20_000))
+    rows = [(1, text), (2, " ".join(["password=Hunter2Hunter2xyz"] * 700))]
+    got = secret_scan.secrets(spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")).collect()
+    check(rows, got)
+    assert {r.doc_id: r.spans.count("opaque") for r in got} == {1: 400, 2: 0}
+
+
+def test_shared_by_one_owner(spark, monkeypatch):
+    rows = [(i, "password=Hunter2Hunter2xyz", "s1") for i in range(12)] + [(20, "token=q8Zr5TbN0wLk", "s1"), (21, "token=q8Zr5TbN0wLk", "s2"), (22, "token=q8Zr5TbN0wLk Zk3Jq9Xw7Lp2Vb8Nm4Rt6", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    for hot in (secret_scan.HOT_SPANS, 3):
+        monkeypatch.setattr(secret_scan, "HOT_SPANS", hot)
+        seen.append(sorted(tuple(r) for r in secret_scan.secrets(docs).collect()))
+    got = {r[0]: r[6:] for r in seen[0]}
+    assert all(got[i] == (0, 1, 0, 12) for i in range(12)) and got[20] == (0, 0, 1, 3) and got[22] == (1, 0, 1, 3) and seen[0] == seen[1]
