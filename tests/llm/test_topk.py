@@ -46,3 +46,18 @@ def test_pages_are_left_out():
     finally:
         topk.products = real
     assert sum(seen[1:]) < len(v) / 2
+
+
+def test_deep_trees(spark, monkeypatch):
+    """Several levels, rows that repeat, and a vector that a third of all rows have; the result doesn't change."""
+    for name, value in (("NODE", 24), ("PAGE", 6), ("FAN", 4), ("BLOCK", 8), ("CHUNK", 2), ("WAVE", 2), ("LEVELS", 12)):
+        monkeypatch.setattr(topk, name, value)
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rnd.standard_normal(3)]) for i in range(500)] + [(1000 + i, [0.5, 0.25, -1.0]) for i in range(300)]
+    rows += [(3001, [1.0, 2.0, 0.5])] * 120
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    v = topk.written(topk.integers(df), "v")
+    leaves, inner, levels = topk.grow(v, len(rows), 3, max(sum(int(x) ** 2 for x in r.v) for r in v.collect()))
+    sizes = [r["count"] for r in leaves.groupBy("node").count().collect()]
+    assert levels > 2 and sum(sizes) == len(rows) and max(sizes) <= 48 and inner.count() > 4
+    assert result(df) == brute(rows)
