@@ -135,7 +135,7 @@ def volume_text(x: Column) -> Column:
 
 
 def yen_text(x: Column) -> Column:
-    return F.concat(F.lit("￥"), F.when(x < 100, tidy(x, 1)).otherwise(F.format_number(x, 0)))
+    return F.concat(F.lit("￥"), F.when(x < 100, tidy(x, 1)).otherwise(tidy(x, 0)))
 
 
 def direction(delta: Column, dead: float = 0.05) -> Column:

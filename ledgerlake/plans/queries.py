@@ -331,6 +331,11 @@ def screen_page(spark, sf):
     return screen.page(views.company_view(spark, sf), 2).select("code", "s_overall")
 
 
+@query("select count(*) as companies, greatest(1, cast(ceil(count(*) / 30) as bigint)) as pages from view where has_warning", o.VIEW)
+def page_count(spark, sf):
+    return screen.page_count(views.company_view(spark, sf).filter("has_warning"))
+
+
 @query("select list_id, pos, l.code, name, data_source from lists l join view v on v.code = l.code", o.VIEW + ", " + LISTS)
 def watchlist(spark, sf):
     view = views.company_view(spark, sf)
@@ -404,12 +409,13 @@ def _tidy(x: str, places: int) -> str:
     f"""select e.event_id, coalesce(case when value > 0 then '+' else '' end || {_tidy('value', 1)} || '億円', '—') as money,
   case when value - 40 > 0 then '+' else '' end || {_tidy('value - 40', 1)} || 'pt' as delta, case when value - 40 > 0 then '+' else '' end || {_tidy('value - 40', 2)} || '%' as percent,
   case when value * 3e6 >= 1e8 then {_tidy('value * 3e6 / 1e8', 1)} || '億株' when value * 3e6 >= 1e4 then {_tidy('value * 3e6 / 1e4', 1)} || '万株' else {_tidy('value * 3e6', 0)} || '株' end as volume,
-  case when value - 40 > 0.05 then 'up' when value - 40 < -0.05 then 'down' else 'flat' end as direction from events e"""
+  case when value - 40 > 0.05 then 'up' when value - 40 < -0.05 then 'down' else 'flat' end as direction,
+  '￥' || case when value * 2.5 < 100 then {_tidy('value * 2.5', 1)} else {_tidy('value * 2.5', 0)} end as yen from events e"""
 )
 def display_text(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     v, d = F.col("value"), F.col("value") - 40
-    return e.select("event_id", scalar.value_text(v, "億円").alias("money"), scalar.delta_text(v, F.lit(40.0), "%").alias("delta"), scalar.percent_text(d).alias("percent"), scalar.volume_text(v * 3e6).alias("volume"), scalar.direction(d).alias("direction"))
+    return e.select("event_id", scalar.value_text(v, "億円").alias("money"), scalar.delta_text(v, F.lit(40.0), "%").alias("delta"), scalar.percent_text(d).alias("percent"), scalar.volume_text(v * 3e6).alias("volume"), scalar.direction(d).alias("direction"), scalar.yen_text(v * 2.5).alias("yen"))
 
 
 @query("select event_id, case when event_id % 5 <= 2 then null else value end as a, case when event_id % 7 = 0 then null else value end as b from events")

@@ -123,7 +123,7 @@ def test_display(spark):
     assert values(spark, [(1234.5,), (-3.0,), (None,)], "x double", scalar.value_text(F.col("x"), "億円")) == ["+1,234.5億円", "-3億円", "—"]
     assert values(spark, [(5.0, 4.0), (5.0, None)], "x double, p double", scalar.delta_text(F.col("x"), F.col("p"), "%")) == ["+1pt", "前年差なし"]
     assert values(spark, [(2e8,), (15000.0,), (999.0,), (None,)], "x double", scalar.volume_text(F.col("x"))) == ["2億株", "1.5万株", "999株", "出来高なし"]
-    assert values(spark, [(99.5,), (1234.4,)], "x double", scalar.yen_text(F.col("x"))) == ["￥99.5", "￥1,234"]
+    assert values(spark, [(99.5,), (1234.4,), (1234.5,)], "x double", scalar.yen_text(F.col("x"))) == ["￥99.5", "￥1,234", "￥1,235"]
 
 
 def test_dashboard_prefers_the_status_row(spark):
