@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import number_rows, word_count, written
 
 MAX_REPEATS = 3
+#: Sources up to which their targets are broadcast (about 60 bytes each); more are joined by a shuffle, where AQE splits hot sources.
+BROADCAST_SOURCES = 200_000
 
 
 def source_key(source: Column) -> Column:
@@ -30,7 +32,7 @@ def targets(sizes: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
 
     Sources by key weigh 1, 2, 3, repeating, and share the total size; none gets more than repeats times its size, and
     what it can't take is shared by the others by weight. The level at which shares stop is found with two running
-    sums over the sources (one row each) in the order in which they reach their limit.
+    sums over the sources in the order in which they reach their limit. One task sees all sources, one small row each, and no document.
     """
     w = sizes.withColumn("weight", (F.row_number().over(W.orderBy("key")) - 1) % 3 + 1)
     w = w.withColumn("_cap", F.col("source_size") * repeats)
@@ -50,13 +52,15 @@ def copies_per_document(docs: DataFrame, seed: int = 0, repeats: int = MAX_REPEA
 
     Null or empty texts have size 0 and may get copies, which add no words. A null source is a source of its own.
     Repeated rows are documents of their own; the order within a source is by size, then doc_id, and rows that tie in
-    both are interchangeable. A hot source is split over tasks by size and id.
+    both are interchangeable. A hot source is split over tasks by size and id, and documents are not dealt by source: sources are summed in every
+    task first, and their targets broadcast up to BROADCAST_SOURCES.
     """
     numbered = number_rows(docs.withColumn("key", source_key(F.col("source"))), ["key", "size", "doc_id"], "row")
     sizes = numbered.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"), F.min("row").alias("first_row"))
     plan = targets(sizes.select("key", "source_size", "docs"), repeats)
     plan = plan.join(sizes.select("key", "first_row"), "key").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", offset(F.col("key"), seed))
-    out = numbered.join(plan.select("key", "source_size", "target", "first_row", "rate", "offset"), "key")
+    plan = written(plan.select("key", "source_size", "target", "first_row", "rate", "offset"), "plan")
+    out = numbered.join(F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan, "key")
     i = (F.col("row") - F.col("first_row")).cast("double")
     copies = F.floor((i + 1) * F.col("rate") + F.col("offset")) - F.floor(i * F.col("rate") + F.col("offset"))
     return out.withColumn("copies", copies.cast("long")).drop("key", "row", "first_row", "rate", "offset")
@@ -70,22 +74,21 @@ def digest(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs.
+    """The documents of the mix, each as often as it is taken, with the columns of docs whatever their names.
 
-    Copies are joined back by doc_id and a hash of the row. Only where whole rows repeat do they get a number among their
-    equals first, so that each keeps its own count.
+    Copies are joined back by doc_id and a hash of the row. Rows that repeat as a whole are one row with the sum of their copies. Null or
+    empty texts have no words, and stay if their place is reached; null ids and sources are like others; an empty table stays empty.
     """
-    full = docs.withColumn("_hash", F.xxhash64(*docs.columns))
-    thin = written(full.select("doc_id", "source", word_count(F.col("text")).alias("size"), "_hash"), "sizes")
-    if not thin.groupBy("doc_id", "_hash").count().filter("count > 1").isEmpty():
-        alike = W.partitionBy("doc_id", "_hash").orderBy("_hash")
-        full, thin = (x.withColumn("_nth", F.row_number().over(alike)) for x in (full, thin))
-    else:
-        full, thin = (x.withColumn("_nth", F.lit(1)) for x in (full, thin))
-    taken = copies_per_document(thin, seed).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.col("_nth").alias("_n"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n"))
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return full.join(taken, same).withColumn("_copy", copy).select(*docs.columns)
+    full = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("*").alias("h"))
+    thin = written(full.select("doc_id", "source", "size", "h"), "sizes")
+    taken = copies_per_document(thin, seed).groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hash")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    taken = written(taken, "taken")
+    full = full.select("row", "doc_id", "h")
+    if not taken.filter("n > 1").isEmpty():
+        full = full.groupBy("doc_id", "h").agg(F.first("row").alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash"))
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return full.join(taken.filter("copies > 0"), same).select("row", copy).select("row.*")
 
 
 #: DuckDB: the same arithmetic over the documents view.

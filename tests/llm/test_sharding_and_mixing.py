@@ -15,6 +15,35 @@ def test_permutation():
     assert sharding.row_of(shard, slot, 1000, 16) == 123
 
 
+def plain_place(row, n, seed=0):
+    """Six rounds of a Feistel network on the smallest even number of bits, in plain integers, walked until the place is below n."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m64
+        return x ^ x >> 31
+
+    bits = 2
+    while 1 << bits < n:
+        bits += 2
+    half = bits // 2
+    while True:
+        left, right = row >> half, row & (1 << half) - 1
+        for r in range(6):
+            key = mix((seed * 6 + r + 1) * 0x9E3779B97F4A7C15 & m64)
+            left, right = right, left ^ mix(right + key & m64) & (1 << half) - 1
+        row = left << half | right
+        if row < n:
+            return row
+
+
+def test_places_in_plain_integers():
+    for n in (1, 2, 5, 16, 17, 1000, 4096, 4097):
+        for seed in (0, 3):
+            assert [plain_place(g, n, seed) for g in range(n)] == sharding.permute(np.arange(n), n, seed).tolist()
+
+
 def test_shards_of_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = sharding.digest(docs).collect()
@@ -24,7 +53,7 @@ def test_shards_of_documents(spark):
     by = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(16)}
     assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert sorted((r.row, r.doc_id) for r in rows) == list(enumerate(sorted(texts)))
-    assert all((r.shard, r.slot) == sharding.shard_of(r.row, len(rows), 16) for r in rows)
+    assert all((r.slot * 16 + r.shard) == plain_place(r.row, len(rows)) for r in rows)
     again = sharding.digest(docs.repartition(7)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
@@ -72,3 +101,13 @@ def test_targets_and_copies(spark):
     again = mixing.digest(df.repartition(3)).collect()
     assert sorted((str(r.doc_id), r.size, r.taken) for r in again) == sorted((str(r.doc_id), r.size, r.taken) for r in got)
     assert mixing.digest(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["copies", "row", "h", "size", "key", "n", "id", "hash", "copy", "offset", "rate", "docs", "weight", "_h", "_copy", "target", "source_size", "first_row"]
+    rows = [(i, f"{'w ' * (i % 9)}{i}", f"s{i % 3}", *range(len(names))) for i in range(60)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(rows)
+    copies = {r.doc_id: r.copies for r in mixing.digest(docs).collect()}
+    assert Counter(r.doc_id for r in out.collect()) == Counter({i: c for i, c in copies.items() if c})
