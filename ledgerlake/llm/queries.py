@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, line_dedup, mixing, near_dedup, records, secret_scan, sharding, spelling, topk, toxicity
+from . import decontamination, langid, line_dedup, mixing, near_dedup, prefix_trie, records, secret_scan, sharding, spelling, topk, toxicity
 from .common import table
 
 
@@ -56,13 +56,17 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_near_dedup, op4_toxicity, op5_topk, op6_language_id, op7_decontamination, op8_mixing, op9_line_dedup, op10_records, op12_spelling)}
+    return {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_near_dedup, op4_toxicity, op5_topk, op6_language_id, op7_decontamination, op8_mixing, op9_line_dedup, op10_records, op11_prefix_trie, op12_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan.ORACLE, "op5_topk": topk.ORACLE, "op7_decontamination": decontamination.ORACLE, "op8_mixing": mixing.ORACLE, "op12_spelling": spelling.ORACLE}
+    return {"op2_secret_scan": secret_scan.ORACLE, "op5_topk": topk.ORACLE, "op7_decontamination": decontamination.ORACLE, "op8_mixing": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_spelling": spelling.ORACLE}
