@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, line_dedup, mixing, near_dedup, prefix_trie, records, secret_scan, sharding, spelling, topk, toxicity
+from . import decontamination, html_text, langid, line_dedup, mixing, near_dedup, prefix_trie, records, secret_scan, sharding, spelling, topk, toxicity
 from .common import table
 
 
@@ -64,8 +64,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_near_dedup, op4_toxicity, op5_topk, op6_language_id, op7_decontamination, op8_mixing, op9_line_dedup, op10_records, op11_prefix_trie, op12_spelling)}
+    return {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_near_dedup, op4_toxicity, op5_topk, op6_language_id, op7_decontamination, op8_mixing, op9_line_dedup, op10_records, op11_prefix_trie, op12_spelling, op13_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
