@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import rules
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: What is stripped from texts of facts: ASCII white space and the ideographic space.
+SPACES = " \t\n\x0b\f\r　"
+DIGITS, FULL_WIDTH = "0123456789", "０１２３４５６７８９"
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end, the ideographic space included."""
-    return F.regexp_replace(c, r"^[\s　]+|[\s　]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def parse_number(text: Column) -> Column:
     """The double that a fact's text stands for; null if blank, not a number or not finite.
 
-    Commas are dropped, full-width digits count as digits, and an underscore between digits is ignored.
+    Commas are dropped, full-width digits count as digits, and an underscore between digits is ignored. A cast knows more words and suffixes than
+    numbers have, so texts with other signs than those of numbers are none.
     """
-    plain = F.translate(F.regexp_replace(strip(text), ",", ""), "０１２３４５６７８９", "0123456789")
-    plain = F.regexp_replace(plain, r"(?<=\d)_(?=\d)", "")
-    number = F.when(plain.rlike(NUMBER), plain.try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    plain = F.translate(strip(text), f"{FULL_WIDTH},", DIGITS)
+    plain = F.when(plain.contains("_"), F.regexp_replace(plain, r"(?<=\d)_(?=\d)", "")).otherwise(plain)
+    return let(plain, lambda p: let(F.when(F.translate(p, f"{DIGITS}+-.eE", "") == "", p.try_cast("double")), lambda n: F.when(F.abs(n) < float("inf"), n)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def local_name(tag: Column) -> Column:
@@ -32,10 +42,13 @@ def local_name(tag: Column) -> Column:
 
 def context_bucket(ref: Column, prior: str = "prioryear") -> Column:
     """The period that a context stands for, or null. prior is a pattern, so that callers may widen it."""
-    low = F.lower(ref)
-    before, now = low.rlike(prior), low.contains("current")
-    span, point = low.contains("duration"), low.contains("instant")
-    return F.when(before & span, "previous_duration").when(before & point, "previous_instant").when(now & span, "current_duration").when(now & point, "current_instant")
+    plain = re.fullmatch(r"\w*", prior)
+
+    def bucket(low: Column) -> Column:
+        when = F.when(low.contains(prior) if plain else low.rlike(prior), "previous_").when(low.contains("current"), "current_")
+        return F.concat(when, F.when(low.contains("duration"), "duration").when(low.contains("instant"), "instant"))
+
+    return let(F.lower(ref), bucket)
 
 
 def round2(x: Column) -> Column:
@@ -54,7 +67,7 @@ def round2(x: Column) -> Column:
         up = F.when((rest > 0.5) | ((rest == 0.5) & (lost > 0)), 1.0).when((rest == 0.5) & (lost == 0), F.abs(whole % 2)).otherwise(0.0)
         return F.when(F.abs(v) >= float(1 << 45), v).otherwise((whole + up) / 100)
 
-    return F.get(F.transform(F.array(x), rounded), F.lit(0))  # so that x is worked out once
+    return let(x, rounded)
 
 
 def round1(x: Column) -> Column:

@@ -11,12 +11,14 @@ from ..functions.scalar import context_bucket, local_name, parse_number
 def parsed_facts(raw: DataFrame, prior: str = "prioryear") -> DataFrame:
     """Metric, bucket and value of raw elements (tag, context_ref, text); others are dropped.
 
-    The table of element names is a literal map of fixed size, so nothing is joined.
+    The table of element names is a literal map of fixed size, so nothing is joined. What is worked out is exploded, so that filters on it stay
+    above and don't work it out again; numbers are parsed only of elements that are wanted.
     """
     metric_of = F.create_map(*(F.lit(x) for m, tags in rules.METRIC_TAGS.items() for t in tags for x in (t, m)))
-    df = raw.withColumn("metric", F.try_element_at(metric_of, local_name(F.col("tag")))).withColumn("bucket", context_bucket(F.col("context_ref"), prior))
-    df = df.filter("metric is not null and bucket is not null").withColumn("value", parse_number(F.col("text")))
-    return df.filter("value is not null")
+    once = lambda df, **made: df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in made.items())))).alias("_")).select(*df.columns, *(F.col(f"_.{n}").alias(n) for n in made))
+    df = raw.drop("metric", "bucket", "value")
+    df = once(df, metric=F.try_element_at(metric_of, local_name(F.col("tag"))), bucket=context_bucket(F.col("context_ref"), prior)).filter("metric is not null and bucket is not null")
+    return once(df, value=parse_number(F.col("text"))).filter("value is not null")
 
 
 def picked_facts(facts: DataFrame, place: str = "seq") -> DataFrame:

@@ -83,7 +83,10 @@ def sql(body: str, more: str = "") -> str:
 def facts(spark: SparkSession, sf_dir: str, **more: Callable[[str], str]) -> DataFrame:
     """fx_facts: six facts a line item, those of the 24 kinds k with k % 4 = (7 * l_linenumber + l_partkey) % 4; more gives further columns by
     element. seq is the place in a document; facts of a kind that share it have the same value."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    cores = spark.sparkContext.defaultParallelism
+    if line.rdd.getNumPartitions() < cores:  # a file of one split would be exploded, and its facts worked out, by one task
+        line = line.repartition(cores, "l_orderkey")
     kinds = [(tag, f"{when}_{period}", f) for tag, period, f in ELEMENTS for when in ("current", "previous")]
     step = F.explode(F.sequence(F.lit(0), F.lit(len(kinds) // 4 - 1))).alias("j")
     rows = line.select("l_orderkey", "l_linenumber", "l_extendedprice", ((F.col("l_linenumber") * 7 + F.col("l_partkey")) % 4).alias("r"), step)
