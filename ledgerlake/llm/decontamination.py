@@ -125,9 +125,11 @@ def unusable_items(benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text leaks no item; rows that share their id, or have none, are told apart by a hash of their text."""
-    bad = _found(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("h").alias("_h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("doc_id", "text") == F.col("_h")), "left_anti")
+    """The rows of docs whose text leaks no item, with columns of any name; rows that share their id, or have none, are told apart by a hash of
+    their text."""
+    bad = _found(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("h"))
+    return packed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("h") == F.col("bad_h")), "left_anti").select("row.*")
 
 
 def _oracle() -> str:

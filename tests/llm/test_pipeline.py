@@ -68,3 +68,19 @@ def test_mix_with_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     taken = mixing.digest(docs).agg({"copies": "sum"}).first()[0]
     assert mixing.mix(docs).count() == taken
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    names = ["_h", "_bad", "_id", "h", "id", "row", "node", "kept", "k1", "k2", "component", "component_id", "seed", "at", "w", "bad_h", "copies", "n", "lang_pred", "score", "rejected", "shard", "start", "seq", "n_tokens"]
+    text = [f"{x} the cat and the dog went to the house of the man and sat on the mat {x} {x}" for x in "one two three four five six".split()]
+    rows = [(i, t, "en", "a", *range(len(names))) for i, t in enumerate(text)]
+    passage = "benchmark passages hold many words that nobody would write in the same order by chance alone"
+    rows += [(10, f"{text[0]} {passage}", "en", "a", *range(len(names))), (11, f"the man of the house, the dog and the cat {passage}", "en", "a", *range(len(names)))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, out, str(tmp_path)))
+        assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(rows) and not out.isEmpty(), name
+    assert {r.doc_id for r in out.collect()} <= set(range(6))
+    assert corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).count() == out.count()
