@@ -16,8 +16,8 @@ def annual_filings(filings: DataFrame, companies: DataFrame, lookback: int = rul
 
 
 def dated(filings: DataFrame, as_of: Column | str, lookback: int = rules.LOOKBACK_DAYS, refresh: int = rules.REFRESH_DAYS) -> DataFrame:
-    """filings with day_offset, the days from fetch_day to as_of, within the look-back range. The range is a filter on fetch_day, so that
-    folders of other days aren't listed where the index is partitioned by it."""
+    """filings with day_offset, the days from fetch_day to as_of, within the look-back range. The range is a filter on fetch_day, which the index
+    knows from names of files or folders, so that those of other days aren't opened."""
     day = F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of
     inside = (F.col("fetch_day") <= day) & (F.col("fetch_day") > F.date_sub(day, max(lookback, refresh)))
     return filings.filter(inside).withColumn("day_offset", F.datediff(day, "fetch_day"))

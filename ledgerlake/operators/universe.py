@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 from operator import or_
 
@@ -87,14 +88,16 @@ STATUS_TOTALS = {"ordinaryFallbackAdded": "ordinaryFallbackAddedTotal", "ordinar
 STATUS_CONSTANTS = {"mode": "jpx-universe-edinet-ordinary-autofill", "status": "ready", "source": "JPX+EDINET+TDnet", "edinetMerged": True}
 
 
-def status_row(report: DataFrame, records: DataFrame, stats: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """The row of the status file: the report's figures, totals of the snapshot's statistics (one row of s, a map; 0 for what it
-    lacks), fixed values, and what else the previous row holds. tdnetOverlay is kept, and true where there was none."""
+def status_row(report: DataFrame, records: DataFrame, stats: DataFrame, previous: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
+    """The row of the status file: when it was made (now, in UTC, unless given), the report's figures, totals of the snapshot's
+    statistics (one row of s, a map; 0 for what it lacks), fixed values, and what else the previous row holds. tdnetOverlay is kept, and true where
+    there was none."""
+    made = generated_at if generated_at is not None else datetime.now(timezone.utc).isoformat()
     one = report.crossJoin(records.agg(F.count("*").alias("_records"))).crossJoin(stats.select(F.col("s").alias("_s")))  # one row each
     df = with_status(one, F.col("_records"))
     total = lambda k: F.coalesce(F.try_element_at("_s", F.lit(k)), F.lit(0.0)).cast("long")
     now = df.select(
-        *(F.lit(v).alias(k) for k, v in STATUS_CONSTANTS.items()), *(F.col(c).alias(n) for c, n in STATUS_NAMES.items()), *(total(k).alias(n) for k, n in STATUS_TOTALS.items())
+        F.lit(made).alias("generatedAt"), *(F.lit(v).alias(k) for k, v in STATUS_CONSTANTS.items()), *(F.col(c).alias(n) for c, n in STATUS_NAMES.items()), *(total(k).alias(n) for k, n in STATUS_TOTALS.items())
     )
     if previous is None or "tdnetOverlay" not in previous.columns:
         now = now.withColumn("tdnetOverlay", F.lit(True))

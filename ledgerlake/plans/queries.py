@@ -199,7 +199,7 @@ _STATUS = ("companies", "targetCompanies", "missingCompanies", "ordinaryMissingC
 
 
 @query(
-    f"""select 'jpx-universe-edinet-ordinary-autofill' as mode, 'ready' as status, 'JPX+EDINET+TDnet' as source, true as "edinetMerged", false as "tdnetOverlay", 80 as "edinetBatchSize", i as companies, t as "targetCompanies", m as "missingCompanies",
+    f"""select '2001-08-02T00:00:00+00:00' as "generatedAt", 'jpx-universe-edinet-ordinary-autofill' as mode, 'ready' as status, 'JPX+EDINET+TDnet' as source, true as "edinetMerged", false as "tdnetOverlay", 80 as "edinetBatchSize", i as companies, t as "targetCompanies", m as "missingCompanies",
   om as "ordinaryMissingCompanies", nl as "newListingOrRecentIpo", sm as "separateModelCompanies", {o.r2('i / t * 100')} as "coverageRatio", 415 as "ordinaryFallbackAddedTotal", 1433 as "ordinaryLatestRefreshedTotal", 0 as "ordinaryRefreshFailuresTotal",
   format('JPX上場企業ユニバースを更新し、対象{{:,}}社中{{:,}}社を取得済み、未取得{{:,}}社。普通企業の未取得は{{:,}}社。', t, i, m, om) as message from s""",
     f"""s as (select (select count(*) from fx_companies) as t, (select count(*) from fx_records) as i, count(*) as m,
@@ -210,8 +210,8 @@ def status_row(spark, sf):
     """The status row, with totals from a snapshot's statistics and what the previous row held."""
     c, r = derived(spark, sf, "fx_companies"), derived(spark, sf, "fx_records")
     stats = spark.sql("select map('ordinaryFallbackAdded', 415D, 'ordinaryLatestRefreshed', 1433D) as s")
-    before = spark.sql("select 'old' as mode, false as tdnetOverlay, 80 as edinetBatchSize, 1.5D as coverageRatio")
-    return universe.status_row(universe.missing_report(c, r), r, stats, before)
+    before = spark.sql("select 'old' as mode, '2001-08-01' as generatedAt, false as tdnetOverlay, 80 as edinetBatchSize, 1.5D as coverageRatio")
+    return universe.status_row(universe.missing_report(c, r), r, stats, before, "2001-08-02T00:00:00+00:00")
 
 
 # KPIs of companies ---------------------------------------------------------------------------------------------------

@@ -18,6 +18,7 @@ def session(name: str = "ledgerlake", cpus: int | None = None, **conf: str) -> S
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.sql.python.filterPushdown.enabled": "true",
     } | conf
     for k, v in settings.items():
         builder = builder.config(k, v)

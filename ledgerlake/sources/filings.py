@@ -17,10 +17,14 @@ MOST_MEMBERS = 3
 
 
 def read_filing_index(spark: SparkSession, path: str, fetch_day: Column | None = None) -> DataFrame:
-    """One row a listed filing with its place in the day's list. One JSON file holds a day; fetch_day defaults to the date in
-    the file's name."""
-    day = F.to_date(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})[^/]*$", 1)) if fetch_day is None else fetch_day
-    days = spark.read.schema(INDEX_SCHEMA).json(path, multiLine=True).withColumn("fetch_day", day)
+    """One row a listed filing with its place in the day's list. One JSON file holds a day.
+
+    fetch_day is a partition column if the folder is laid out by it, else the date in the file's name. Either is known before a file is opened, so a
+    range of days in a filter (see operators.filings.dated) leaves the files of other days closed.
+    """
+    days = spark.read.schema(INDEX_SCHEMA).json(path, multiLine=True)
+    if fetch_day is not None or "fetch_day" not in days.columns:
+        days = days.withColumn("fetch_day", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1)) if fetch_day is None else fetch_day)
     rows = days.select("fetch_day", F.posexplode("results").alias("day_seq", "f"))
     return rows.select(
         F.col("f.docID").alias("doc_id"), F.col("f.secCode").alias("sec_code"), F.col("f.docTypeCode").alias("doc_type_code"),

@@ -141,6 +141,8 @@ def test_missing_report_and_status(spark, tmp_path):
 
     stats = spark.sql("select map('ordinaryFallbackAdded', 7D) as s")
     before = spark.sql("select 'x' as mode, 12 as edinetBatchSize")
+    aged = before.withColumn("generatedAt", F.lit("long ago"))
+    assert universe.status_row(report, records, stats, aged, "now").first().generatedAt == "now" and universe.status_row(report, records, stats, aged).first().generatedAt > "2020"
     row = universe.status_row(report, records, stats, before).first()
     assert (row.mode, row.edinetBatchSize, row.tdnetOverlay, row.edinetMerged, row.companies, row.coverageRatio, row.ordinaryFallbackAddedTotal, row.ordinaryRefreshFailuresTotal) == ("jpx-universe-edinet-ordinary-autofill", 12, True, True, 2, 40.0, 7, 0)
     absent = spark.sql("select cast(null as long) as target_companies, cast(null as long) as implemented_companies, cast(null as long) as missing_companies, cast(null as long) as ordinary_missing, cast(null as long) as new_listing, cast(null as long) as separate_model")
