@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import rules
+from .ranges import RANGE, read_entries
+from .store import hadoop_path
 
 METRIC = "struct<value:double,previousValue:double,trend:array<double>,comparisonLabel:string>"
 RECORD = (
@@ -17,7 +19,8 @@ RECORD = (
 )
 FINANCIALS = f"struct<generatedAt:string,status:string,source:string,stats:map<string,double>,records:map<string,{RECORD}>>"
 QUOTE = "struct<close:double,previousClose:double,changePercent:double,volume:double,date:string,source:string>"
-MARKET = f"struct<status:string,source:string,latestTradingDate:string,quotes:map<string,{QUOTE}>,fundamentals:map<string,struct<eps:double,bps:double,forecastEps:double>>>"
+FUNDAMENTALS = "struct<eps:double,bps:double,forecastEps:double>"
+MARKET = f"struct<status:string,source:string,latestTradingDate:string,quotes:map<string,{QUOTE}>,fundamentals:map<string,{FUNDAMENTALS}>>"
 
 
 def cleaned_text(c: Column) -> Column:
@@ -35,8 +38,8 @@ def parsed(primary: Column, fallback: Column, schema: str) -> Column:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    fs, at = hadoop_path(spark, path)
+    return fs.exists(at)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str, fallback: str | None = None) -> DataFrame:
@@ -46,23 +49,43 @@ def read_snapshot(spark: SparkSession, path: str, schema: str, fallback: str | N
     return both.select(parsed(F.col("value"), F.col("other"), schema).alias("s"))
 
 
-def read_records(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
+def _large(spark: SparkSession, path: str, step: int) -> bool:
+    fs, at = hadoop_path(spark, path)
+    return fs.exists(at) and fs.getFileStatus(at).getLen() > step
+
+
+def _map_of(spark: SparkSession, path: str, fallback: str | None, schema: str, name: str, kind: str, step: int) -> DataFrame:
+    """key and value (v) of one of a snapshot's maps. A file of more than step bytes is read in ranges; S8 holds for either way."""
+    if _large(spark, path, step):
+        found = read_entries(spark, path, step)
+        if found is not None:
+            value = F.from_json(cleaned_text(F.concat(F.lit('{"v":'), "value", F.lit("}"))), f"v {kind}")["v"]
+            return found.filter(F.col("top") == name).select("key", value.alias("v"))
+        return _map_of(spark, fallback, None, schema, name, kind, step) if fallback else spark.createDataFrame([], f"key string, v {kind}")
+    if fallback and _large(spark, fallback, step):
+        one = read_snapshot(spark, path, schema)
+        if one.filter("s is null").count():
+            return _map_of(spark, fallback, None, schema, name, kind, step)
+        fallback = None
+    return read_snapshot(spark, path, schema, fallback).select(F.explode(F.col("s")[name]).alias("key", "v"))
+
+
+def read_records(spark: SparkSession, path: str, fallback: str | None = None, step: int = RANGE) -> DataFrame:
     """Code and record of a financial snapshot; none where the file is absent. Records under another code than their
-    own are left out. A folder is one that write_snapshot wrote, whose lines are read in parallel."""
+    own are left out. A folder is one that write_snapshot wrote, whose lines are read in parallel; a file of more than step bytes is read in ranges of them."""
     if _is_folder(spark, path):
         lines = cleaned_text(F.regexp_replace("value", r",\s*$", ""))
         one = F.from_json(F.concat(F.lit("{"), lines, F.lit("}")), f"map<string,{RECORD}>")
         rows = spark.read.text(path).filter(F.col("value").rlike(r'^"[^"]*":\{"')).select(F.explode(one).alias("code", "record"))
     else:
-        rows = read_snapshot(spark, path, FINANCIALS, fallback).select(F.explode("s.records").alias("code", "record"))
+        rows = _map_of(spark, path, fallback, FINANCIALS, "records", RECORD, step).toDF("code", "record")
     return rows.filter(F.coalesce(F.col("record.code") == F.col("code"), F.lit(True)))
 
 
-def read_market(spark: SparkSession, path: str, fallback: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_market(spark: SparkSession, path: str, fallback: str | None = None, step: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """Quotes and fundamentals by code."""
-    s = read_snapshot(spark, path, MARKET, fallback)
-    quotes = s.select(F.explode("s.quotes").alias("code", "q")).select("code", "q.*")
-    return quotes, s.select(F.explode("s.fundamentals").alias("code", "f")).select("code", "f.*")
+    read = lambda name, kind: _map_of(spark, path, fallback, MARKET, name, kind, step).select(F.col("key").alias("code"), "v.*")
+    return read("quotes", QUOTE), read("fundamentals", FUNDAMENTALS)
 
 
 def finite_everywhere(df: DataFrame) -> DataFrame:
@@ -83,8 +106,7 @@ def finite_everywhere(df: DataFrame) -> DataFrame:
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at = hadoop_path(spark, path)
     return fs.exists(at) and fs.getFileStatus(at).isDirectory()
 
 
@@ -94,7 +116,8 @@ def read_stats(spark: SparkSession, path: str, fallback: str | None = None) -> D
         head = spark.read.text(path).filter(F.col("value").startswith('{"'))
         s = head.select(F.from_json(F.concat(F.regexp_replace("value", r",\s*$", ""), F.lit("}")), FINANCIALS)["stats"].alias("s"))
     else:
-        s = read_snapshot(spark, path, FINANCIALS, fallback).select("s.stats").toDF("s")
+        each = _map_of(spark, path, fallback, FINANCIALS, "stats", "double", RANGE)
+        s = each.agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("s"))  # a few figures
     return s.agg(F.coalesce(F.first("s", ignorenulls=True), F.create_map().cast("map<string,double>")).alias("s"))
 
 
