@@ -91,6 +91,16 @@ def batch(accepted: DataFrame, size: int | None = rules.BATCH_SIZE) -> DataFrame
     return accepted if size is None else accepted.orderBy("day_offset", "day_seq", "code").limit(size)
 
 
+def cut_off(scanned: DataFrame, size: int | None = rules.BATCH_SIZE) -> DataFrame:
+    """W3 for a scan with its failures: what comes up to the size-th acceptance in scan order; None takes all."""
+    if size is None:
+        return scanned
+    order = ("day_offset", "day_seq", "code")
+    last = batch(scanned.filter(F.col("policy") != rules.FAILED).select(F.struct(*order).alias("_at"), *order), size).agg(F.max("_at").alias("_last"), F.count("*").alias("_n"))
+    both = scanned.crossJoin(F.broadcast(last))  # one row
+    return both.filter((F.col("_n") < size) | (F.struct(*order) <= F.col("_last"))).drop("_last", "_n")
+
+
 def latest_accepted(accepted: DataFrame) -> DataFrame:
     """The acceptance that stands for each company in the end: the last one."""
     last = accepted.filter(F.col("policy") != rules.FAILED).groupBy("code").agg(F.max_by(F.struct("doc_id", "submit_ts", "policy"), "nth").alias("x"))
@@ -102,6 +112,16 @@ def upserted(records: DataFrame, new: DataFrame) -> DataFrame:
     return records.join(new.select("code"), "code", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def counted_run(scanned: DataFrame, records: DataFrame, previous: DataFrame) -> DataFrame:
+    """A5 from the records before a run: scanned is evaluated once, as the codes that the run adds to the records are counted from it as well."""
+    count = lambda p: F.count_if(F.col("policy") == p)
+    of_code = scanned.groupBy("code").agg(count(rules.ADDED_POLICY).alias("a"), count(rules.REFRESHED_POLICY).alias("r"), count(rules.FAILED).alias("f"))
+    of_code = of_code.join(records.select("code", F.lit(True).alias("held")).distinct(), "code", "left")
+    run = of_code.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "arf"), F.count_if(F.col("held").isNull() & (F.col("a") + F.col("r") > 0)).alias("n"))
+    both = run.crossJoin(previous).crossJoin(records.agg(F.count("*").alias("held")))  # one row each
+    return both.select((F.col("added") + F.col("a")).alias("added"), (F.col("refreshed") + F.col("r")).alias("refreshed"), (F.col("failures") + F.col("f")).alias("failures"), (F.col("held") + F.col("n")).alias("companies"))
+
+
 def run_totals(scanned: DataFrame, records_after: DataFrame, previous: DataFrame) -> DataFrame:
     """A5: running totals: the previous row's (added, refreshed, failures) plus this run's, and the number of records."""
     count = lambda p: F.count_if(F.col("policy") == p)

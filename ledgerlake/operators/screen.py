@@ -49,6 +49,11 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).lower().split()))
 
 
+def with_folded(view: DataFrame) -> DataFrame:
+    """The view with name_fold, code_fold and market_fold, to be stored, so that searches fold nothing but their needle."""
+    return view.withColumns({f"{c}_fold": folded(F.lower(c) if c == "name" else F.col(c)) for c in ("name", "code", "market")})
+
+
 def fold_needle(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).lower().split())
 

@@ -177,9 +177,7 @@ def upsert_records(spark, sf):
     o.ACCEPTED,
 )
 def run_totals(spark, sf):
-    a = views.scanned(spark, sf)
-    after = filings.upserted(derived(spark, sf, "fx_records"), filings.latest_accepted(a))
-    return filings.run_totals(a, after, spark.sql("select 415L as added, 1433L as refreshed, 12 as failures"))
+    return filings.counted_run(views.scanned(spark, sf), derived(spark, sf, "fx_records"), spark.sql("select 415L as added, 1433L as refreshed, 12 as failures"))
 
 
 @query(
