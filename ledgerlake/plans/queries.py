@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import kpi, rules, scalar
-from ..operators import facts, filings, records, screen, universe
-from ..sources.snapshots import cleaned_text, finite_everywhere
-from . import oracle as o
-from . import views
+from ..operators import facts, filings, records, screen, search, universe
+from ..sources import archives
+from ..sources.filings import read_filing_index
+from ..sources.listing import read_bundle, read_listing
+from ..sources.snapshots import cleaned_text, finite_everywhere, read_market, read_records
+from ..sources.store import new_folder
+from . import files, oracle as o, views
 from .fixtures import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +152,12 @@ def fact_wide(spark, sf):
     return facts.wide_facts(views.metric_facts(spark, sf)).select(*_WIDE)
 
 
+@query(f"select {', '.join(_WIDE)} from wide where doc_id in (select doc_id from annual)", o.WIDE + ", " + o.ACCEPTED.removeprefix(o.DOCS + ", ").split(" target as")[0].rstrip(" ,\n"))
+def facts_wanted(spark, sf):
+    """A1, A2 for annual reports alone: facts of other documents aren't shuffled."""
+    return facts.wide_facts(facts.of_documents(views.metric_facts(spark, sf), views.annual(spark, sf))).select(*_WIDE)
+
+
 _KPI = [f"{x}_{k}" for k in kpi.RECORD_KPIS for x in "vp"]
 
 
@@ -180,12 +190,14 @@ def run_totals(spark, sf):
     return filings.counted_run(views.scanned(spark, sf), derived(spark, sf, "fx_records"), spark.sql("select 415L as added, 1433L as refreshed, 12 as failures"))
 
 
-@query(
+_EACH_KPI = (
     "select code, doc_id as document_id, filed_at, period_end, policy, source_url, kpi, value, previous from ("
     + " union all ".join(f"select rcode as code, doc_id, filed_at, period_end, policy, source_url, '{k}' as kpi, v_{k} as value, p_{k} as previous from held where v_{k} is not null" for k in kpi.RECORD_KPIS)
-    + ")",
-    o.AFTER,
+    + ")"
 )
+
+
+@query(_EACH_KPI, o.AFTER)
 def record_json(spark, sf):
     """M7: records after a run, from JSON, a row for each KPI."""
     r = views.snapshot_records(spark, sf)
@@ -212,6 +224,60 @@ def status_row(spark, sf):
     return universe.status_row(universe.missing_report(c, r), r, stats, before, "2001-08-02T00:00:00+00:00")
 
 
+# sources, read from files that are written from the tables --------------------------------------------------------------
+
+
+@query(f"select code, name, market, industry from fx_companies where not {o.tokens('market', rules.MARKET_TOKENS)} and not {o.tokens('name', rules.LISTING_NAME_TOKENS)} and regexp_matches(code, '^(\\d{{4}}|\\d{{3}}[A-Z]|\\d{{5}})$')")
+def listing_sheet(spark, sf):
+    """The sheet as CSV."""
+    return universe.listed(read_listing(spark, files.listing_sheet(spark, sf))).select("code", "name", "market", "industry")
+
+
+@query("select code, name, market, industry from fx_companies where seq % 9 <> 0")
+def text_bundle(spark, sf):
+    """Entries of a text bundle; those with an empty field are none."""
+    return read_bundle(spark, files.bundle(spark, sf)).select("code", "name", "market", "industry")
+
+
+@query(f"select doc_id, sec_code, doc_type_code, submit_ts, period_end, cast(day_seq as bigint) as day_seq, cast(day_offset as bigint) as day_offset from fx_filings where day_offset >= 0 and day_offset < {rules.LOOKBACK_DAYS}")
+def index_days(spark, sf):
+    """The days of the index within the look-back range; others aren't opened."""
+    listed = filings.dated(read_filing_index(spark, files.filing_index(spark, sf)), views.AS_OF)
+    return listed.select("doc_id", "sec_code", "doc_type_code", "submit_ts", "period_end", F.col("day_seq").cast("long"), F.col("day_offset").cast("long"))
+
+
+_ARCHIVED = o.ACCEPTED.removeprefix(o.DOCS + ", ").split(" target as")[0].rstrip(" ,\n")
+
+
+@query(
+    """select doc_id, count(metric) as n_facts, sum(value) as total, count(distinct member) as members, count(*) filter (broken) as errors from (
+  select a.doc_id, a.o_orderkey % 17 = 0 as broken, case when a.o_orderkey % 17 > 0 then metric end as metric, case when a.o_orderkey % 17 > 0 then value end as value, case when a.o_orderkey % 17 > 0 then seq % 4 end as member
+  from annual a join m_facts f on a.doc_id = f.doc_id where a.fetch_day > date '2000-08-01' and (seq % 4 < 3 or a.o_orderkey % 17 = 0)
+  qualify a.o_orderkey % 17 > 0 or row_number() over (partition by a.doc_id order by seq) = 1) group by doc_id""",
+    o.M_FACTS + ", " + _ARCHIVED,
+)
+def archive_facts(spark, sf):
+    """Facts of the first three members of each archive of a year, by the data source; archives that are cut off give an error."""
+    facts_ = archives.archive_facts(spark, files.archives(spark, sf)).filter(F.col("fetch_day") > F.lit("2000-08-01").cast("date"))
+    return facts_.groupBy("doc_id").agg(F.count("metric").alias("n_facts"), F.sum("value").alias("total"), F.countDistinct("member_idx").alias("members"), F.count("error").alias("errors"))
+
+
+@query(_EACH_KPI, o.AFTER)
+def record_ranges(spark, sf):
+    """The records of a snapshot that is one file, read in ranges of bytes."""
+    r = read_records(spark, files.snapshot(spark, sf), step=1 << 16)
+    each = r.select("code", "record", F.explode("record.metrics").alias("kpi", "m"))
+    return each.select("code", F.col("record.documentId").alias("document_id"), F.col("record.filedAt").alias("filed_at"), F.col("record.periodEnd").alias("period_end"), F.col("record.quality.policy").alias("policy"), F.col("record.sourceUrl").alias("source_url"), "kpi", "m.value", F.col("m.previousValue").alias("previous"))
+
+
+@query("select coalesce(q.code, f.code) as code, close, previous_close, change_percent, volume, eps, bps, forecast_eps from fx_quotes q full join fx_fundamentals f on q.code = f.code")
+def market_snapshot(spark, sf):
+    """Quotes and fundamentals of a snapshot whose first source is cut off."""
+    q, f = read_market(spark, *files.market(spark, sf), step=1 << 14)
+    q = q.select("code", "close", F.col("previousClose").alias("previous_close"), F.col("changePercent").alias("change_percent"), "volume")
+    return q.join(f.withColumnRenamed("forecastEps", "forecast_eps"), "code", "full")
+
+
 # KPIs of companies ---------------------------------------------------------------------------------------------------
 
 
@@ -307,6 +373,18 @@ def screen_codes(spark, sf):
     return screen.screened(c, "７a").select("code", "name")
 
 
+NEEDLES = ("9", "#0", "7A", "tomer#00", "ＣＵＳＴＯＭＥＲ#0000", "１３", "er#00 ", "zzz")
+_FOLDED = ("9", "#0", "7a", "tomer#00", "customer#0000", "13", "er#00", "zzz")
+
+
+@query(" union all ".join(f"select {o.text(n)} as needle, code, name from view where contains(lower(name), '{f}') or contains(lower(code), '{f}')" for n, f in zip(NEEDLES, _FOLDED, strict=True)), o.VIEW)
+def search_index(spark, sf):
+    """Needles of one letter and more, found by postings of their grams."""
+    view, index = views.company_view(spark, sf), views.search_index(spark, sf)
+    each = [search.searched(view, index, n).select(F.lit(n).alias("needle"), "code", "name") for n in NEEDLES]
+    return reduce(DataFrame.union, each)
+
+
 _ORDERS = {
     "code-asc": "cast(regexp_extract(code, '^\\d+') as bigint), regexp_replace(code, '^\\d+', ''), seq",
     "score-desc": "case when has_record then 0 else 1 end, case when has_record then s_overall end desc nulls last, seq",
@@ -329,6 +407,22 @@ def screen_page(spark, sf):
     return screen.page(views.company_view(spark, sf), 2).select("code", "s_overall")
 
 
+_PAGES = (1, 3, 17, 40)
+
+
+@query(
+    " union all ".join(f"select '{n}' as sort, {p} as page, rn - 1 as place, code from (select code, row_number() over (order by {_ORDERS[n]}) as rn from view) where rn between {30 * (p - 1) + 1} and {30 * p}" for n in ("score-desc", "code-asc") for p in _PAGES),
+    o.VIEW,
+)
+def deep_pages(spark, sf):
+    """Pages near and far of two orders, each read from the ranges that hold it."""
+    out = []
+    for order in ("score-desc", "code-asc"):
+        index = search.page_index(views.company_view(spark, sf).select("seq", "code", "data_source", "s_overall"), new_folder(spark, "pages"), order)
+        out += [search.indexed_page(index, p).select(F.lit(order).alias("sort"), F.lit(p).alias("page"), "place", "code") for p in _PAGES]
+    return reduce(DataFrame.union, out)
+
+
 @query("select count(*) as companies, greatest(1, cast(ceil(count(*) / 30) as bigint)) as pages from view where has_warning", o.VIEW)
 def page_count(spark, sf):
     return screen.page_count(views.company_view(spark, sf).filter("has_warning"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import kpi, rules
-from ..operators import facts, filings, records, screen
+from ..operators import facts, filings, records, screen, search
 from ..operators.universe import missing, numbered
 from ..sources.snapshots import RECORD
 from ..sources.store import stored
@@ -74,6 +74,11 @@ def company_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "view", lambda s, d: screen.with_folded(joined_view(s, d)), "code")
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of the view's names and codes, written once in buckets of gram."""
+    return kept(spark, sf_dir, "postings", lambda s, d: search.postings(company_view(s, d)), "gram")
+
+
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = filings.dated(derived(spark, sf_dir, "fx_filings").drop("day_offset"), AS_OF)
     return filings.annual_filings(listed, derived(spark, sf_dir, "fx_companies"))

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .store import new_folder
 
 
-def stored_in_order(df: DataFrame, order: list, path: str) -> DataFrame:
-    """df written to path in ranges of an order, sorted in each, with _part (the range) and _nth (the place in it, from 0)."""
+def stored_in_order(df: DataFrame, order: list, path: str, folders: bool = False) -> DataFrame:
+    """df written to path in ranges of an order, sorted in each, with _part (the range) and _nth (the place in it, from 0); each range may have a
+    folder of its own, so that readers of some open no other."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.select(*df.columns, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_nth"))
-    placed.write.parquet(path)
+    placed = placed.select(*df.columns, F.shiftright("_at", 33).cast("int").alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_nth"))
+    (placed.write.partitionBy("_part") if folders else placed.write).parquet(path)
     return df.sparkSession.read.schema(placed.schema).parquet(path)
 
 
