@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import rules
+from ..functions.scalar import let
 from .ranges import RANGE, read_entries
 from .store import hadoop_path
 
@@ -32,8 +33,8 @@ def cleaned_text(c: Column) -> Column:
 
 
 def parsed(primary: Column, fallback: Column, schema: str) -> Column:
-    """The first of two texts that parses."""
-    ok = lambda c: F.when(F.try_parse_json(cleaned_text(c)).isNotNull(), F.from_json(cleaned_text(c), schema))
+    """The first of two texts that parses. Either is cleaned once, and the second only looked at where the first doesn't parse."""
+    ok = lambda c: let(cleaned_text(c), lambda t: F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, schema)))
     return F.coalesce(ok(primary), ok(fallback))
 
 
