@@ -25,6 +25,8 @@ assert s.sparkContext.parallelize([0], 1).mapPartitions(absent).first()
 docs = table(s, "/root/testdata/sf0.001", "documents")
 for f in (queries.op4_toxicity, queries.op6_language_id, queries.op3_near_dedup, queries.op10_records, queries.op1_sharding):
     assert f(s, "/root/testdata/sf0.001").count() == docs.count(), f
+for f in (queries.op11_prefix_trie, queries.op12_spelling, queries.op13_html_text):
+    assert f(s, "/root/testdata/sf0.001").count() > 0, f
 print("done")
 """
 
