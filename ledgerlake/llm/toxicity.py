@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import learnable, learning_sample
 from .shingles import give_back, slices, words
 
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and between the beginnings of two: a passage of WINDOW - STRIDE words, here half a window, lies whole in one wherever it begins.
+WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 WORD_DIM = CHAR_DIM = 8
 CHAR_BUCKETS = 1 << 17
@@ -292,7 +293,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL)
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id and score for each row of docs; one pass over whole texts, nothing is shuffled. Null texts count as empty."""
+    """doc_id and score for each row of docs; one pass over whole texts, nothing is shuffled.
+
+    Null and empty texts score 0, texts of any length count whole, rows that repeat or share an id are scored one by one, and rows that tie in score stay
+    as they are. Columns but doc_id and text are ignored; an empty table gives none.
+    """
     # the words of a bounded sample and fixed tables, as plain values: classes of this package can't be read where it isn't installed
     held = docs.sparkSession.sparkContext.broadcast({"vocabulary": net.vocabulary, "known": net.known, "p": net.p})
 
@@ -306,6 +311,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; empty and null texts score 0."""
+    """doc_id, held_out, score and predicted of every document, as scored has it. An id without labels, or null, is no less scored; without labels to learn
+    from no text is toxic."""
     out = scored(docs, learn(docs, labels))
     return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

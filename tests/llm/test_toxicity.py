@@ -20,6 +20,29 @@ def test_every_word_lies_in_a_window():
         assert seen == set(range(5, 5 + n)) and all(length <= toxicity.WINDOW)
 
 
+def test_passages_lie_whole_in_a_window():
+    width = toxicity.WINDOW - toxicity.STRIDE
+    assert 2 * toxicity.STRIDE <= toxicity.WINDOW
+    for n in (width, 40, 57, 200):
+        start, length, _ = toxicity.windows([n])
+        assert all(any(s <= p and p + width <= s + k for s, k in zip(start, length, strict=True)) for p in range(n - width + 1))
+
+
+def test_passages_across_the_edges_of_windows():
+    rnd = np.random.default_rng(3)
+    clean = [f"w{i}" for i in range(300)]
+
+    def text(at):
+        words = [clean[i] for i in rnd.integers(0, 300, 120)]
+        if at is not None:
+            words[at], words[at + 7], words[at + 15] = "vile", "nasty", "scum"
+        return " ".join(words)
+
+    net = toxicity.train([text(i % 100) for i in range(150)] + [text(None) for _ in range(150)], [1] * 150 + [0] * 150)
+    assert (net.score([text(at) for at in range(105)]) >= toxicity.THRESHOLD).all()
+    assert (net.score([text(None) for _ in range(100)]) < toxicity.THRESHOLD).all()
+
+
 def test_gradients():
     net = toxicity.Network.fresh({b"bad": 1, b"good": 2})
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
