@@ -145,7 +145,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns keep of docs, lang_pred, score and rejected for each row.
 
     Null texts and texts without a letter are `und` with score 0 and rejected. Without anything to learn from all are. Works
-    on whole texts in one pass; nothing is shuffled.
+    on whole texts in one pass; nothing is shuffled. Of centroids that tie the first counts, by language in alphabetical order. Rows that repeat or share an id
+    are judged one by one; columns that aren't in keep are ignored, and keep must not hold lang_pred, score or rejected (see known_languages for
+    columns of any name). An empty table gives no rows.
     """
     # DIMENSIONS floats for each centroid; plain values, as classes of this package can't be read where it isn't installed
     held = docs.sparkSession.sparkContext.broadcast(asdict(model))

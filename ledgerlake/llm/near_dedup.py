@@ -316,7 +316,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     component_id is the smallest doc_id that links lead to; kept says that a row is that document. Rows with an empty
     set, and rows without an id, are linked with nothing and kept. Where rows share an id but not a text, each gets the
-    component of its own text. Other columns are ignored.
+    component of its own text. Null texts have an empty set; texts of any length count whole; rows that repeat get a row each. Documents that
+    tie in similarity are all linked. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     return _placed(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 

@@ -321,7 +321,9 @@ def read_records(index: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
     """Writes all documents as records, reads the files back, and returns doc_id, start, n_tokens, ids_crc32, shard, seq.
 
-    start counts the ids of all documents before it, over all files. The sums over files are one row a file.
+    start counts the ids of all documents before it, over all files. The sums over files are one row a file. Null and empty texts are their end id
+    alone, null ids come first, rows that repeat get a record each, and rows that tie in doc_id are ordered by text. Texts of any length are
+    encoded whole. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     folder = folder or new_folder(docs.sparkSession, "records")
     index = write_records(docs, folder, tokenizer)
