@@ -38,7 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in record files, read back (operator 10). Null texts are their end id alone, null ids come first, repeated rows get a record each."""
+    """Token ids in record files, read back (operator 10). Null texts are their end id alone, null ids come first, repeated rows get a record each. Rows
+    that tie in their id are ordered by text; other columns, whatever their names, are left out; an empty table gives no rows."""
     return records.digest(docs, tokenizer_path())
 
 
