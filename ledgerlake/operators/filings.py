@@ -58,9 +58,9 @@ def scanned_filings(tried: DataFrame, refresh: int = rules.REFRESH_DAYS) -> Data
     """The filings that a scan from the newest day on takes or fails at, one row each with its policy and place.
 
     tried holds candidates whose document gave a record, and those whose archive failed (failed is true; none are failed without that column).
-    A company's filings are folded in order, at a cost that grows with the square of its acceptances, which a look-back range bounds to a few: a missing target takes the first; then, within the refresh range, another document
-    submitted later than the one held is taken. What is held after an acceptance is the filing's submit_ts, empty if that is null. A failed
-    one changes nothing, and counts where it would have been taken.
+    A company's filings are folded in order, at a cost that grows with the square of its acceptances, which the look-back range bounds to a few: a
+    missing target takes the first; then, within the refresh range, another document submitted later than the one held is taken. What is held after an
+    acceptance is the filing's submit_ts, empty if that is null. A failed one changes nothing, and counts where it would have been taken.
     """
     failed = F.coalesce("failed", F.lit(False)) if "failed" in tried.columns else F.lit(False)
     one = F.struct("day_offset", "day_seq", "doc_id", "submit", "submit_ts", failed.alias("failed"))

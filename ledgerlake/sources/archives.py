@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from ..functions import rules
 from ..functions.scalar import DIGITS, FULL_WIDTH, SPACES
+from .placing import numbered_by
 
 FORMAT = "filing_archives"
 #: Archive members that are read, those of the public document first.
@@ -200,15 +201,16 @@ def archive_facts(spark: SparkSession, path: str, tasks: int | None = None, prio
     return spark.read.format(FORMAT).option("partitions", str(tasks)).option("prior", prior).load(path)
 
 
-def facts_of(files: DataFrame, tasks: int, prior: str = "prioryear") -> DataFrame:
-    """The same for archives that are rows, so that any number of wanted documents can be joined: files holds doc_id, path and length.
+def dealt(files: DataFrame, tasks: int) -> DataFrame:
+    """doc_id, path and length of archives with the task of each: rows are numbered by length and dealt to and fro, so that each task gets one of
+    every so many consecutive ones, and none gets more than the mean and the largest archive together."""
+    n = F.col("_place") % (2 * tasks)
+    task = F.when(n < tasks, n).otherwise(2 * tasks - 1 - n).cast("int")
+    return numbered_by(files.select("doc_id", "path", "length"), ["length", "doc_id"], "_place").withColumn("_task", task).drop("_place")
 
-    Rows are numbered by length and dealt to and fro, so that each task gets one of every so many consecutive ones.
-    """
-    from .placing import numbered_by
 
-    n = F.col("_place") % (2 * tasks)
-    dealt = numbered_by(files.select("doc_id", "path", "length"), ["length", "doc_id"], "_place").withColumn("_task", F.when(n < tasks, n).otherwise(2 * tasks - 1 - n).cast("int"))
+def facts_of(files: DataFrame, tasks: int, prior: str = "prioryear") -> DataFrame:
+    """The same for archives that are rows, so that any number of wanted documents can be joined: files holds doc_id, path and length."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in FACTS.split(", ")]
@@ -224,4 +226,4 @@ def facts_of(files: DataFrame, tasks: int, prior: str = "prioryear") -> DataFram
         if out:
             yield frame(out)
 
-    return dealt.repartitionById(tasks, "_task").select("doc_id", "path").mapInPandas(parse, FACTS).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    return dealt(files, tasks).repartitionById(tasks, "_task").select("doc_id", "path").mapInPandas(parse, FACTS).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))

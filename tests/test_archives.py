@@ -43,6 +43,10 @@ def test_planning(spark, tmp_path):
     assert len(loads) == 16 and max(loads) < 1.1 * sum(loads) / 16 and sorted(i for b in archives.packed(sizes, 16) for i in b) == list(range(300))
     assert archives.packed([], 4) == [] and archives.packed([5], 4) == [[0]]
 
+    rows = spark.createDataFrame([(f"D{i}", f"/a/D{i}.zip", n) for i, n in enumerate(sizes)], "doc_id string, path string, length long")
+    loads = [r.n for r in archives.dealt(rows, 16).groupBy("_task").agg(F.sum("length").alias("n")).collect()]
+    assert len(loads) == 16 and sum(loads) == sum(sizes) and max(loads) <= sum(sizes) / 16 + max(sizes) and max(loads) < 2 * sum(sizes) / 16
+
     day = datetime.date(2024, 5, 1)
     for k in range(6):
         folder = tmp_path / f"fetch_day={day + datetime.timedelta(days=k)}"
