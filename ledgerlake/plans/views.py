@@ -99,7 +99,12 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(code, record) of the snapshot after a run: records as they were, with accepted filings in their place, through JSON and back."""
+    """(code, record) of the snapshot after a run, written once."""
+    return kept(spark, sf_dir, "snapshot_records", _records_after, "code")
+
+
+def _records_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as they were, with accepted filings in their place, through JSON and back."""
     before = derived(spark, sf_dir, "fx_records").withColumn("policy", F.lit(None).cast("string"))
     now = filings.upserted(before, filings.latest_accepted(scanned(spark, sf_dir)))
     periods = derived(spark, sf_dir, "fx_filings").select(F.col("doc_id").alias("document_id"), "period_end")
