@@ -36,6 +36,8 @@ END_ID = 2
 CACHED_PIECES = 1 << 18
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 22
+#: Code points of a text by which rows of one id are dealt to files.
+BEGINNING = 64
 #: A character that the tokenizer makes one id of; texts that have it are encoded as they are.
 MARK = "\x01"
 #: A text that tells whether a tokenizer works piece by piece.
@@ -255,7 +257,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     end id), null ids come first, and repeated rows get records of their own, ordered by order's further columns.
     """
     order = order or ["doc_id", "text"]
-    placed = docs.select("doc_id", "text", *[c for c in order if c not in ("doc_id", "text")]).repartitionByRange(*order[:1]).sortWithinPartitions(*order)
+    placed = docs.select("doc_id", "text", *[c for c in order if c not in ("doc_id", "text")])
+    # rows that share an id, or have none, are told apart by how their texts begin, which follows the order of whole texts
+    ranges = [F.substring(c, 1, BEGINNING) if c == "text" else F.col(c) for c in order[:2]]
+    placed = placed.repartitionByRange(*ranges).sortWithinPartitions(*order)
     placed = placed.select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

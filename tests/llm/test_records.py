@@ -87,3 +87,17 @@ def test_a_tokenizer_that_does_not_work_by_pieces(tmp_path):
     t.save(str(tmp_path / "t.json"))
     e = records.Encoder(str(tmp_path / "t.json"))
     assert not e.by_piece and list(e.batch(pa.array(["A a", "", "a b"]))[0]) == [0, 1, 1, 2]
+
+
+def test_rows_of_one_id_in_several_files(spark):
+    rows = [(None if i % 3 else 7, f"text {i * 7919 % 1000:04d} " + "and more " * (i % 40)) for i in range(300)]
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        out = records.digest(df, queries.tokenizer_path()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in out), key=lambda r: r[1]) == expected(ordered)
+    assert len({r.shard for r in out if r.doc_id is None}) > 1
