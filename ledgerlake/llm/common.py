@@ -59,6 +59,24 @@ def joined_with_hot(rows: DataFrame, side: DataFrame, on: list[str], count: str,
     return rows.join(F.broadcast(shared), on).unionByName(rest)
 
 
+def joined_with_hubs(rows: DataFrame, side: DataFrame, on: str, counted: DataFrame, hub: int, most: int) -> DataFrame:
+    """rows joined with side, which has one row for each value of on. Values that more than hub rows of counted share are dealt to several
+    tasks, and side's row goes to each of them.
+
+    counted: a written table with the column on, whose counts are at least those of rows. At most so many values are dealt, those that most rows share.
+    """
+    parts = counted.groupBy(on).agg(F.ceil(F.count("*") / hub).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = written(parts.orderBy(F.desc("_parts"), on).limit(most), "hubs")
+    if parts.isEmpty():
+        return rows.join(side, on)
+    others = [c for c in rows.columns if c != on]
+    part = F.coalesce(F.pmod(F.xxhash64(*others), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(parts), on, "left").withColumn("_part", part).drop("_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    copies = side.join(F.broadcast(parts), on, "left").withColumn("_part", every).drop("_parts")
+    return dealt.join(copies, [on, "_part"]).drop("_part")
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import components, joined_with_hot, written
+from .common import components, joined_with_hot, joined_with_hubs, written
 from .shingles import give_back, mix, shingle_sets, slices
 
 SHINGLE_WORDS = 5
@@ -45,6 +45,8 @@ DEALS = 8
 REMEMBERED = 1 << 18
 #: Members from which a bucket's facts are sent to every task instead of its members to one; buckets that are sent at most.
 HOT_BUCKET, MOST_HOT = 1000, 200_000
+#: Pairs of a document from which they are dealt to several tasks.
+HUB = 2000
 #: Members of a bucket that are compared with each other in one task at a time.
 BLOCK = 512
 
@@ -165,18 +167,18 @@ def estimate(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Serie
     return pd.Series(((_matrix(a) == _matrix(b)).mean(axis=1) - c) / (1 - c))
 
 
-def _met_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+def _met_in_blocks(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of a bucket in different components, both of whose registers agree well enough.
 
-    rows: key, cid, component, n, registers. A bucket is cut into blocks of about BLOCK members by a hash of the cid; a pair of blocks is one
-    piece of work, so a task holds two blocks at a time. A pair that shares several buckets is given by its first band alone.
+    rows: key, cid, component, blocks; reps: cid, n, registers. A bucket is cut into so many blocks, of about BLOCK members, by a hash of the cid; a pair of
+    blocks is one piece of work, so a task holds two blocks at a time. Registers join the members once these are dealt. A pair that shares several buckets
+    is given by its first band alone.
     """
     least = least_estimate(percent)
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
-    dealt = dealt.select("key", "p", "q", "block", "cid", "component", "n", "registers")
+    dealt = dealt.withColumn("other", other).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("blocks", "other")
+    dealt = dealt.join(reps, "cid").select("key", "p", "q", "block", "cid", "component", "n", "registers")
 
     def compare(bucket: list[tuple]) -> tuple[list[int], list[int]]:
         key = bucket[0][0]
@@ -233,16 +235,19 @@ def _sets(docs: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) that are linked: by size and estimate first, then on full sets."""
     side = lambda x: reps.select(F.col("cid").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = written(pairs, "pairs")
+    both = joined_with_hubs(pairs, side("a"), "a", pairs, HUB, MOST_HOT)
+    both = joined_with_hubs(both, side("b"), "b", pairs, HUB, MOST_HOT)
     both = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     likely = written(both.filter(estimate("ra", "rb", "na", "nb") >= least_estimate(percent)).select("a", "b"), "likely")
     return _on_full_sets(likely, sets, percent)
 
 
 def _on_full_sets(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) that are linked."""
+    """Those of pairs(a, b), a written table, that are linked."""
     sets = sets.select(F.col("id"), F.col("shingles"))
-    full = likely.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
+    full = joined_with_hubs(likely, sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a", likely, HUB, MOST_HOT)
+    full = joined_with_hubs(full, sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b", likely, HUB, MOST_HOT)
     common = F.size(F.array_intersect("sa", "sb"))
     return full.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -297,9 +302,10 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     # the others of a bucket, where they are of several components
     placed = members.filter("cid > lo and cid < hi").select("key", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y").select("key", "n")
+    split = split.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rest = written(joined_with_hot(placed, written(split, "split"), ["key"], "n", HOT_BUCKET, MOST_HOT), "rest")
     if not rest.isEmpty():
-        likely = written(_met_in_blocks(rest.join(reps, "cid"), percent), "likely")
+        likely = written(_met_in_blocks(rest, reps, percent), "likely")
         found = written(components(links.union(_on_full_sets(likely, sets, percent))), "components")
 
     linked = classes.select("cid", "least").join(found.withColumnRenamed("id", "cid"), "cid")

@@ -95,3 +95,20 @@ def test_ids_that_texts_share(spark):
     assert kept.columns == docs.columns
     left = sorted((tuple(r) for r in kept.collect()), key=repr)
     assert left in [sorted([(1, a), (2, b), (4, x), (None, a), (6, "")], key=repr) for x in (c, c2)]
+
+
+@pytest.mark.parametrize("block", [3, near_dedup.BLOCK])
+def test_hubs_are_dealt(spark, monkeypatch, block):
+    """Many documents share a passage with the smallest of their bucket, and some are linked with it: its pairs go to several tasks."""
+    monkeypatch.setattr(near_dedup, "HUB", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(90):
+        w = base[:]
+        for p in rnd.sample(range(60), rnd.choice([0, 1, 1, 2, 3, 9])):
+            w[p] = word()
+        rows.append((i, " ".join(w + [word() for _ in range(rnd.choice([0, 4, 20]))])))
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
