@@ -45,3 +45,14 @@ def test_one_row_a_company(spark, large, name, rows):
     got = sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect())))
     assert got == sorted(map(str, found.fetchall()))
     assert len(got) == rows
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["fact_pick", "fact_wide", "fact_parse"])
+def test_line_items_are_dealt_once(spark, sf, name):
+    """By document, before they are exploded: facts themselves are in no exchange."""
+    text = plan(QUERIES[name](spark, sf))
+    assert text.count("Exchange ") == 1 and "Generate" not in text[text.index("Exchange ") :]
