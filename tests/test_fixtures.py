@@ -56,3 +56,9 @@ def test_line_items_are_dealt_once(spark, sf, name):
     """By document, before they are exploded: facts themselves are in no exchange."""
     text = plan(QUERIES[name](spark, sf))
     assert text.count("Exchange ") == 1 and "Generate" not in text[text.index("Exchange ") :]
+
+
+def test_parsing_is_compiled(spark, sf):
+    """No lambda, which is interpreted row by row, and no map that is searched from its start."""
+    text = plan(QUERIES["fact_parse"](spark, sf))
+    assert "lambda" not in text and "keys:" not in text and "try_element_at" not in text
