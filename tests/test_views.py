@@ -45,3 +45,10 @@ def test_stored_anew_when_inputs_change(spark, tmp_path):
     spark.range(25).withColumn("k", F.col("id") % 3).write.parquet(path)
     assert store.stored(spark, "some table", [path], make, "k", 4).count() == 25 and len(made) == 2
     assert store.shared_folder(spark).startswith("file:") and os.path.exists(path)
+
+
+def test_tables_of_companies_are_not_sent(spark, sf):
+    """Lists and the view grow with the companies: no join but that with the nations sends a side through the driver."""
+    made = {n: queries.QUERIES[n](spark, sf) for n in ("watchlist", "compare_best", "compare_pivot", "compare_candidates")}
+    for name, df in (made | {"view": views.joined_view(spark, sf).select("code", "s_overall", "v_per")}).items():
+        assert not [line for line in plan(df).splitlines() if "BroadcastHashJoin" in line and "n_nationkey" not in line], name
