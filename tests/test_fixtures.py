@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from ledgerlake.plans import fixtures
 from ledgerlake.plans.queries import ORACLES, QUERIES
+from pyspark.sql import functions as F
 
 #: Keys that a pad of five (companies) or eight places (documents) would make equal.
 KEYS, ORDERS = (10_000, 100_000, 100_001, 1_000_000), (12_345_678, 123_456_780, 123_456_781, 1_234_567_800)
@@ -62,3 +63,13 @@ def test_parsing_is_compiled(spark, sf):
     """No lambda, which is interpreted row by row, and no map that is searched from its start."""
     text = plan(QUERIES["fact_parse"](spark, sf))
     assert "lambda" not in text and "keys:" not in text and "try_element_at" not in text
+
+
+def test_rounding_is_compiled_and_exact(spark, sf):
+    """As SQL's round, halves and their neighbours among the values, without a decimal for each."""
+    values = [0.0, 0.49999999999999994, 0.5, 0.5000000000000001, 1.4999999999999998, 1.5, 2.5, 4503599627370495.5, 9007199254740993.0, 1e300, float("inf")]
+    values += [k / 16 for k in range(400)] + [9.995 * 100, 1.005 * 100, 84197.04 * 0.001]
+    df = spark.createDataFrame([(s * v,) for v in values for s in (1, -1)] + [(None,)], "v double")
+    assert not [r for r in df.select("v", F.round("v").alias("a"), fixtures.whole(F.col("v")).alias("b")).collect() if r.a != r.b]
+    for name in ("fact_pick", "fact_wide"):
+        assert "round(" not in plan(QUERIES[name](spark, sf)), name
